@@ -1,5 +1,296 @@
-"""placeholder"""
+"""Removal of long byte strings that an earlier document holds, by suffix arrays over shards of shared text."""
 
+from __future__ import annotations
 
-def query(spark, sf_dir):
-    raise NotImplementedError
+import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tesela.llm.common import U64, blocks, mix, table, utf8
+from tesela.llm.induced import sort_suffixes
+
+
+@dataclass(frozen=True)
+class SuffixConfig:
+    """length: bytes of a string that counts as repeated. gram: bytes of the strings whose least hash deals a window to a shard.
+    shard: bytes that are sorted at once, if a single key doesn't hold more. memory: bytes of queue records in memory."""
+
+    length: int = 50
+    gram: int = 16
+    shard: int = 1 << 20
+    memory: int = 64 << 20
+
+
+def window_keys(data: np.ndarray, config: SuffixConfig) -> np.ndarray:
+    """For each window of `length` bytes, the least hash of the strings of `gram` bytes in it: equal windows, equal keys."""
+    n = len(data) - config.length + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+
+    def spread(x: np.ndarray, width: int, join, most: int) -> np.ndarray:
+        """join over `most` neighbours, by doubling: x covers `width` of them."""
+        while width < most:
+            step = min(width, most - width)
+            x = join(x[:-step], x[step:], width, step)
+            width += step
+        return x
+
+    base = U64(0xD6E8FEB86659FD93)
+    # the hash of 2w bytes from those of w bytes; gram is a power of two
+    grams = spread(data.astype(U64) + U64(1), 1, lambda a, b, width, step: mix(a * base + (b ^ U64(width))), config.gram)
+    return spread(grams, 1, lambda a, b, width, step: np.minimum(a, b), config.length - config.gram + 1)[:n]
+
+
+def window_runs(data: np.ndarray, offsets: np.ndarray, config: SuffixConfig) -> tuple[np.ndarray, ...]:
+    """Row, first window, number of windows and key of each run of neighbouring windows of a row with one key."""
+    keys = window_keys(data, config)
+    if not len(keys):
+        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, U64),)
+    count = np.maximum(np.diff(offsets) - config.length + 1, 0)
+    row = np.repeat(np.arange(len(count)), count)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + offsets[:-1][row]
+    keys = keys[at]
+    new = np.ones(len(row), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    first = np.flatnonzero(new)
+    return row[first], at[first] - offsets[row[first]], np.diff(np.append(first, len(row))), keys[first]
+
+
+def key_rows(docs: DataFrame, config: SuffixConfig) -> DataFrame:
+    """route, key, doc_id, sure: the keys of each document, once.
+
+    A key that several documents of one stretch share is known to be shared: those rows are sure and dealt evenly, and one
+    row stands for them where keys meet. So a key that a third of all documents hold meets as one row for each stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = utf8(batch.column(1))
+            for a, b in blocks(offs):
+                row, _, _, key = window_runs(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], config)
+                doc = batch.column(0).slice(a, b - a).to_numpy()[row] if len(row) else np.zeros(0, np.int64)
+                order = np.lexsort((doc, key))
+                key, doc = key[order], doc[order]
+                fresh = np.ones(len(key), bool)
+                fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                key, doc = key[fresh], doc[fresh]
+                same = key[1:] == key[:-1]
+                sure = np.append(same, False) | np.append([False], same) if len(key) else np.zeros(0, bool)
+                alone = ~np.append([False], same) if len(key) else sure
+                spread = mix(key[sure] ^ (doc[sure].astype(U64) * U64(0x9E3779B97F4A7C15)))
+                route = np.concatenate([key[alone], spread]).view(np.int64)
+                columns = [route, np.concatenate([key[alone], key[sure]]).view(np.int64), np.concatenate([doc[alone], doc[sure]]), np.repeat([False, True], [alone.sum(), sure.sum()])]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["route", "key", "doc_id", "sure"])
+
+    return docs.mapInArrow(run, "route long, key long, doc_id long, sure boolean")
+
+
+def shared_keys(docs: DataFrame, config: SuffixConfig) -> DataFrame:
+    """doc_id and its keys that other documents have too."""
+    rows = key_rows(docs, config).repartition("route").sortWithinPartitions("route")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last_doc, last_out = None, None, True
+        for batch in batches:
+            sure = batch.column("sure").to_numpy(zero_copy_only=False)
+            key, doc = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
+            out_key, out_doc = [key[sure]], [doc[sure]]
+            key, doc = key[~sure], doc[~sure]
+            if len(key):
+                # a key's rows are neighbours; each differs in its document from another one if the key's least and largest do
+                first = np.flatnonzero(np.append([True], key[1:] != key[:-1]))
+                lo, hi = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
+                several = lo < hi
+                if last_key is not None and key[0] == last_key:
+                    if lo[0] != last_doc or several[0]:
+                        several[0] = True
+                        if not last_out:
+                            out_key.append(np.array([last_key]))
+                            out_doc.append(np.array([last_doc]))
+                keep = several[np.cumsum(np.append([False], key[1:] != key[:-1]))]
+                out_key.append(key[keep])
+                out_doc.append(doc[keep])
+                open_ = last_key is not None and key[0] == last_key and len(first) == 1 and not several[0]
+                last_key, last_doc, last_out = key[-1], doc[-1], bool(keep[-1]) or (open_ and last_out)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_key))], ["doc_id", "key"])
+
+    return rows.select("key", "doc_id", "sure").mapInArrow(run, "doc_id long, key long").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+
+
+def pieces(docs: DataFrame, config: SuffixConfig, with_text: bool) -> DataFrame:
+    """key, d1, d2 (digest of the piece), doc_id, and start and count, or the piece itself.
+
+    A piece is the text under a run of windows with one shared key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = utf8(batch.column(1))
+            flat = batch.column(2).flatten().to_numpy().view(U64)
+            at = batch.column(2).offsets.to_numpy()
+            at = at - at[0]
+            for a, b in blocks(offs):
+                row, start, count, key = window_runs(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], config)
+                mine = mix(flat[at[a] : at[b]] ^ np.repeat(np.arange(b - a, dtype=U64), np.diff(at[a : b + 1])) * U64(0x9E3779B97F4A7C15))
+                hit = np.isin(mix(key ^ row.astype(U64) * U64(0x9E3779B97F4A7C15)), mine)
+                row, start, count, key = row[hit], start[hit], count[hit], key[hit]
+                begin = offs[a:b][row] + start
+                raw = data.tobytes() if not a and b == len(offs) - 1 else data[offs[a] : offs[b]].tobytes()
+                begin -= offs[a]
+                text = [raw[x:y] for x, y in zip(begin.tolist(), (begin + count + config.length - 1).tolist(), strict=True)]
+                digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, text)), ">i8").astype(np.int64).reshape(-1, 2)
+                doc = batch.column(0).slice(a, b - a).take(pa.array(row))
+                more = [pa.array(text, pa.binary())] if with_text else [pa.array(start), pa.array(count)]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), doc, *more], ["key", "d1", "d2", "doc_id", *(["piece"] if with_text else ["start", "count"])])
+
+    return docs.mapInArrow(run, "key long, d1 long, d2 long, doc_id long, " + ("piece binary" if with_text else "start long, count long"))
+
+
+def earliest(pieces_: list[bytes], doc: np.ndarray, config: SuffixConfig) -> np.ndarray:
+    """For each window of the joined pieces, the least document that holds it; the pieces stand one byte apart."""
+    joined = np.frombuffer(b"\0".join(pieces_) + b"\0", np.uint8).astype(np.int16) + 1
+    size = np.array([len(x) for x in pieces_])
+    end = np.cumsum(size + 1) - 1
+    joined[end] = 0
+    owner = np.repeat(np.arange(len(pieces_)), size + 1)
+    order, lcp = sort_suffixes(joined, config.length, config.memory)
+    whole = end[owner[order]] - order >= config.length
+    group = np.cumsum(lcp < config.length) - 1
+    least = np.full(group[-1] + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group[whole], doc[owner[order[whole]]])
+    out = np.full(len(joined), np.iinfo(np.int64).max)
+    out[order[whole]] = least[group[whole]]
+    return out
+
+
+def first_holders(found: DataFrame, config: SuffixConfig) -> DataFrame:
+    """key, d1, d2, first (the least document with the piece), wins (array of start, count: its windows that a document before
+    that one holds, in other pieces). found: pieces with their text."""
+    distinct = found.groupBy("key", "d1", "d2", "piece").agg(F.min("doc_id").alias("first"))
+    dealt = distinct.repartition("key").sortWithinPartitions("key", "d1", "d2")
+    wins = pa.list_(pa.struct([("start", pa.int64()), ("count", pa.int64())]))
+
+    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(rows).combine_chunks()
+        text, doc = part["piece"].to_pylist(), part["first"].to_numpy()
+        least = earliest(text, doc, config)
+        at, out = 0, []
+        for x, d in zip(text, doc.tolist(), strict=True):
+            early = np.flatnonzero(np.diff(np.concatenate([[0], least[at : at + len(x)] < d, [0]])))
+            out.append([{"start": int(a), "count": int(b - a)} for a, b in early.reshape(-1, 2)])
+            at += len(x) + 1
+        return pa.RecordBatch.from_arrays([*(part[c].combine_chunks() for c in ("key", "d1", "d2", "first")), pa.array(out, wins)], ["key", "d1", "d2", "first", "wins"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                key = batch.column("key").to_numpy()
+                length = np.cumsum(np.diff(batch.column("piece").offsets.to_numpy())[at:]) if hasattr(batch.column("piece"), "offsets") else np.cumsum([len(x.as_py()) for x in batch.column("piece").slice(at)])
+                if size >= config.shard:  # a shard ends with a key
+                    last = held[-1].column("key")[-1].as_py()
+                    stop = at + int(np.argmax(key[at:] != last)) if (key[at:] != last).any() else batch.num_rows
+                    if stop > at:
+                        held.append(batch.slice(at, stop - at))
+                        at = stop
+                    if at < batch.num_rows:
+                        yield solve(held)
+                        held, size = [], 0
+                    continue
+                stop = min(batch.num_rows, at + int(np.searchsorted(length, config.shard - size)) + 1)
+                held.append(batch.slice(at, stop - at))
+                size += int(length[stop - at - 1])
+                at = stop
+        if held:
+            yield solve(held)
+
+    return dealt.mapInArrow(run, "key long, d1 long, d2 long, first long, wins array<struct<start:bigint,count:bigint>>")
+
+
+def repeated_spans(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
+    """doc_id, spans (array of start and end bytes; they may overlap). docs: doc_id and text, without null ids.
+
+    1. Each window of `length` bytes has a key, the least hash of its short strings; only keys of several documents matter.
+    2. Pieces of text under runs of windows with one such key are dealt by key; equal pieces are pre-aggregated to one with
+    its first document. So equal windows meet, and a piece that a third of all documents hold meets once.
+    3. Shards of pieces are sorted by external induced sorting; neighbours with `length` bytes in common are equal windows.
+    4. A later document loses a piece that an earlier one holds, and the first holder what other pieces hold before it.
+    """
+    keyed = docs.join(shared_keys(docs, config), "doc_id").select("doc_id", "text", "keys")
+    holders = first_holders(pieces(keyed, config, True), config)
+    met = pieces(keyed, config, False).join(holders, ["key", "d1", "d2"])
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("count")))
+    part = F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("wins"))
+    spans = met.select("doc_id", "start", F.explode(part).alias("w"))
+    begin = F.col("start") + F.col("w.start")
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct(begin.alias("start"), (begin + F.col("w.count") + (config.length - 1)).alias("end"))).alias("spans"))
+
+
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def suffix_dedup(docs: DataFrame, config: SuffixConfig = SuffixConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, spans (array of start and end: maximal runs of removed bytes of the UTF-8 text), n_bytes, kept (binary).
+
+    A byte goes if a string of `length` bytes over it also starts in a document with a smaller id; strings are judged on the
+    input and never run from one document into the next. Null text is empty. Repeated rows of one id are the same document
+    and never remove each other. Rows with a null id stay whole and remove nothing. Ids are whole numbers. Other columns
+    aren't read. An empty table gives no rows.
+    """
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    both = rows.join(repeated_spans(rows.where("doc_id is not null"), config), "doc_id", "left").select("doc_id", "text", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                data, offs = utf8(part.column(1))
+                spans, kept = [], []
+                for i, found in enumerate(part.column(2).to_pylist()):
+                    text, runs, left, at = data[offs[i] : offs[i + 1]].tobytes(), [], [], 0
+                    for x in sorted((x["start"], x["end"]) for x in found or []):
+                        if runs and x[0] <= runs[-1][1]:
+                            runs[-1][1] = max(runs[-1][1], x[1])
+                        else:
+                            runs.append([*x])
+                    for a, b in runs:
+                        left.append(text[at:a])
+                        at = b
+                    kept.append(b"".join([*left, text[at:]]))
+                    spans.append([{"start": a, "end": b} for a, b in runs])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, SPANS), pa.array(np.diff(offs)), pa.array(kept, pa.binary())], ["doc_id", "spans", "n_bytes", "kept"])
+
+    return both.mapInArrow(cut, "doc_id long, spans array<struct<start:bigint,end:bigint>>, n_bytes long, kept binary")
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def removed_bytes(texts: list[tuple[int, bytes]], length: int) -> dict[int, list[bool]]:
+    """The definition, by brute force over (id, text) for tests."""
+    seen: dict[bytes, int] = {}
+    for i, text in texts:
+        for k in range(len(text) - length + 1):
+            s = text[k : k + length]
+            seen[s] = min(i, seen.get(s, i))
+    out = {}
+    for i, text in texts:
+        gone = [False] * len(text)
+        for k in range(len(text) - length + 1):
+            if seen[text[k : k + length]] < i:
+                gone[k : k + length] = [True] * length
+        out[i] = gone
+    return out
+
+
+def digest(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
