@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOWELS = set("aeiouáéíóúü")
 
@@ -130,7 +131,7 @@ def _cut(word: str, start: int, endings) -> str:
     return word[: len(word) - len(ending)]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_es(term: pd.Series) -> pd.Series:
     """Stems of terms; meant for distinct terms, which are then joined back."""
     return term.map(lambda w: None if w is None else stem(unicodedata.normalize("NFC", w)))
