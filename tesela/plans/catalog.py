@@ -110,9 +110,9 @@ def joined(array: Column) -> Column:
 query("tokenize", "SELECT doc_id, array_to_string(t, '|') AS tokens FROM tok")(lambda t: t.corpus.select("doc_id", joined(text.tokenize(F.col("text"))).alias("tokens")))
 query("document_lines", "SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)")(lambda t: t.corpus.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long")))
 _STOP = ", ".join(f"'{w}'" for w in STOP)
-query("stopword_filter", f"SELECT doc_id, array_to_string(list_filter(t, x -> x NOT IN ({_STOP})), '|') AS terms FROM tok")(lambda t: index.analysed(t.corpus, AnalyzerConfig(stopwords=STOP)).select("doc_id", joined(F.col("terms")).alias("terms")))
-query("length_filter", "SELECT doc_id, array_to_string(list_filter(t, x -> length(x) BETWEEN 3 AND 23), '|') AS terms FROM tok")(lambda t: index.analysed(t.corpus, AnalyzerConfig(min_size=3, max_size=23)).select("doc_id", joined(F.col("terms")).alias("terms")))
-query("analyse", f"SELECT doc_id, len(t) AS n_tokens, array_to_string(list_filter(t, x -> x NOT IN ({_STOP}) AND length(x) BETWEEN 3 AND 23), '|') AS terms FROM tok")(lambda t: index.analysed(t.corpus, AnalyzerConfig(stopwords=STOP, min_size=3, max_size=23)).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), joined(F.col("terms")).alias("terms")))
+query("stopword_filter", f"SELECT doc_id, array_to_string(list_filter(t, lambda x: x NOT IN ({_STOP})), '|') AS terms FROM tok")(lambda t: index.analysed(t.corpus, AnalyzerConfig(stopwords=STOP)).select("doc_id", joined(F.col("terms")).alias("terms")))
+query("length_filter", "SELECT doc_id, array_to_string(list_filter(t, lambda x: length(x) BETWEEN 3 AND 23), '|') AS terms FROM tok")(lambda t: index.analysed(t.corpus, AnalyzerConfig(min_size=3, max_size=23)).select("doc_id", joined(F.col("terms")).alias("terms")))
+query("analyse", f"SELECT doc_id, len(t) AS n_tokens, array_to_string(list_filter(t, lambda x: x NOT IN ({_STOP}) AND length(x) BETWEEN 3 AND 23), '|') AS terms FROM tok")(lambda t: index.analysed(t.corpus, AnalyzerConfig(stopwords=STOP, min_size=3, max_size=23)).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), joined(F.col("terms")).alias("terms")))
 
 
 @query("stem_es")
@@ -173,7 +173,7 @@ query("term_ids", "SELECT term, term_id FROM ids")(lambda t: t.ids)
 query("index_build")(lambda t: t.weights.join(t.ids, "term").select("term_id", "term", "doc_id", "tf", "weight"))
 query("corpus_stats", "SELECT n_docs, n_tokens, n_terms, round(n_tokens * 1.0e0 / n_docs, 6) AS tokens_per_doc, round(n_terms * 1.0e0 / n_docs, 6) AS terms_per_doc, round(a, 6) AS avg_term_length, n_hapax FROM (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_tokens FROM tok), (SELECT count(*) AS n_terms, avg(length(term)) AS a, count(*) FILTER (cf = 1) AS n_hapax FROM voc)")(lambda t: index.corpus_stats(t.corpus))
 _EXT = "SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_terms FROM tok"
-query("doc_extremes", f"SELECT * FROM (SELECT 'longest' AS kind, * FROM ({_EXT}) ORDER BY n_tokens DESC, doc_id DESC LIMIT 1) UNION ALL SELECT * FROM (SELECT 'shortest' AS kind, * FROM ({_EXT}) ORDER BY n_tokens, doc_id DESC LIMIT 1)".replace("FROM (SELECT doc_id, len(t)", "FROM (SELECT doc_id, len(t)"))(lambda t: index.doc_extremes(t.corpus))
+query("doc_extremes", f"SELECT * FROM (SELECT 'longest' AS kind, * FROM ({_EXT}) ORDER BY n_tokens DESC, doc_id DESC LIMIT 1) UNION ALL SELECT * FROM (SELECT 'shortest' AS kind, * FROM ({_EXT}) ORDER BY n_tokens, doc_id DESC LIMIT 1)")(lambda t: index.doc_extremes(t.corpus))
 query("idf", "SELECT term, df, round(idf, 6) AS idf FROM voc")(lambda t: t.vocab.select("term", "df", r6("idf")))
 query("tf_idf", "SELECT term, doc_id, tf, round(weight, 6) AS weight FROM w")(lambda t: t.weights.select("term", "doc_id", "tf", r6("weight")))
 query("doc_norms", "SELECT doc_id, round(norm, 6) AS norm FROM norms")(lambda t: t.norms.select("doc_id", r6("norm")))
@@ -195,11 +195,11 @@ query("bottom_terms", "SELECT term, cf, df FROM voc ORDER BY cf, df, term LIMIT
 query("bool_and", "SELECT query_id, doc_id FROM tf JOIN qt USING (term) JOIN qn USING (query_id) GROUP BY query_id, doc_id, n HAVING count(*) = n")(lambda t: retrieval.intersect(t.topics, t.tf))
 query("bool_or", "SELECT query_id, doc_id FROM hits_or")(lambda t: retrieval.union(t.topics, t.tf))
 query("bool_not", "SELECT query_id, d.doc_id FROM documents d, topics WHERE NOT EXISTS (SELECT 1 FROM hits_or h WHERE h.doc_id = d.doc_id AND h.query_id = topics.query_id)")(lambda t: retrieval.complement(t.topics, t.tf, t.corpus))
-query("phrase", "SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, doc_id, pos - at AS s FROM occ JOIN (SELECT query_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS at, len(terms) AS n FROM topics) q USING (term) GROUP BY query_id, doc_id, s, n HAVING count(*) = n)")(lambda t: retrieval.phrase(t.topics, t.occ, t.tf))
+query("phrase", "SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, doc_id, pos - k AS s FROM occ JOIN (SELECT query_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS k, len(terms) AS n FROM topics) q USING (term) GROUP BY query_id, doc_id, s, n HAVING count(*) = n)")(lambda t: retrieval.phrase(t.topics, t.occ, t.tf))
 
 
 def _near(name: str, distance: int) -> None:
-    pairs = "SELECT query_id, list_filter(terms, (x, i) -> list_position(terms, x) = i) AS u FROM topics"
+    pairs = "SELECT query_id, list_filter(terms, lambda x, i: list_position(terms, x) = i) AS u FROM topics"
     query(name, f"SELECT DISTINCT query_id, a.doc_id FROM ({pairs}) q JOIN occ a ON a.term = u[1] JOIN occ b ON b.term = u[2] AND b.doc_id = a.doc_id WHERE abs(a.pos - b.pos) <= {distance}")(lambda t: retrieval.near(t.topics, t.occ, distance))
 
 
@@ -245,7 +245,7 @@ _HEAPS = "CAST(sum(n) OVER w2 AS BIGINT) AS n_tokens, CAST(sum(k) OVER w2 AS BIG
 query("heaps_curve", f"SELECT doc_id, {_HEAPS} FROM heaps WINDOW w2 AS (ORDER BY doc_id)")(lambda t: laws.heaps_curve(t.occ))
 query("heaps_tokens", "SELECT doc_id, pos, CAST(sum(f) OVER (ORDER BY doc_id, pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n_terms FROM (SELECT doc_id, pos, (row_number() OVER (PARTITION BY term ORDER BY doc_id, pos) = 1)::INT AS f FROM occ)")(lambda t: laws.heaps_tokens(t.occ).withColumn("pos", F.col("pos").cast("long")))
 query("heaps_estimate", "SELECT doc_id, n_tokens, round(10 * pow(n_tokens, 0.6e0), 4) AS estimate FROM (SELECT doc_id, CAST(sum(n) OVER (ORDER BY doc_id) AS BIGINT) AS n_tokens FROM heaps)")(lambda t: laws.heaps_estimate(laws.heaps_curve(t.occ)).withColumn("estimate", F.round("estimate", 4)))
-query("heaps_incremental", "WITH o AS (SELECT term, doc_id, doc_id % 3 AS stage FROM occ), f AS (SELECT term, min((stage, doc_id)) AS at FROM o GROUP BY term), s AS (SELECT stage, doc_id, count(*) AS n FROM o GROUP BY 1, 2), k AS (SELECT at[1] AS stage, at[2] AS doc_id, count(*) AS k FROM f GROUP BY 1, 2) SELECT stage, doc_id, CAST(sum(n) OVER w2 AS BIGINT) AS n_tokens, CAST(sum(coalesce(k, 0)) OVER w2 AS BIGINT) AS n_terms FROM s LEFT JOIN k USING (stage, doc_id) WINDOW w2 AS (PARTITION BY stage ORDER BY doc_id)")(lambda t: laws.heaps_curve(t.occ.withColumn("stage", F.col("doc_id") % 3), "stage"))
+query("heaps_incremental", "WITH o AS (SELECT term, doc_id, doc_id % 3 AS stage FROM occ), f AS (SELECT term, min((stage, doc_id)) AS first FROM o GROUP BY term), s AS (SELECT stage, doc_id, count(*) AS n FROM o GROUP BY 1, 2), k AS (SELECT first[1] AS stage, first[2] AS doc_id, count(*) AS k FROM f GROUP BY 1, 2) SELECT stage, doc_id, CAST(sum(n) OVER w2 AS BIGINT) AS n_tokens, CAST(sum(coalesce(k, 0)) OVER w2 AS BIGINT) AS n_terms FROM s LEFT JOIN k USING (stage, doc_id) WINDOW w2 AS (PARTITION BY stage ORDER BY doc_id)")(lambda t: laws.heaps_curve(t.occ.withColumn("stage", F.col("doc_id") % 3), "stage"))
 
 # evaluation
 
@@ -265,7 +265,7 @@ def _spearman(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("model_comparison", _LEVELS.replace("WITH best", "WITH best").replace("ip AS", "ip AS") + "SELECT level, round(avg(precision), 6) AS cosine FROM ip GROUP BY level")
+@query("model_comparison", _LEVELS + "SELECT level, round(avg(precision), 6) AS cosine FROM ip GROUP BY level")
 def _models(t: Tables) -> DataFrame:
     out = evaluation.compare_models({"cosine": evaluation.interpolated(t.rp), "dice": evaluation.interpolated(evaluation.precision_recall(t.run(Similarity.DICE), t.qrels))})
     return out.select(F.col("level").cast("long").alias("level"), r6("cosine"))
@@ -304,7 +304,7 @@ _roundtrip("vbyte_roundtrip", "vbyte", codes.vbyte_decode)
 
 # web graph
 
-query("page_links", "SELECT page_id, at, link FROM full_links")(lambda t: graph.page_links(t.pages).select("page_id", F.col("at").cast("long").alias("at"), "link"))
+query("page_links", "SELECT page_id, place, link FROM full_links")(lambda t: graph.page_links(t.pages).select("page_id", F.col("at").cast("long").alias("place"), "link"))
 query("outdegree", "SELECT url AS src, count(DISTINCT link) AS n_links FROM full_links GROUP BY url")(lambda t: graph.out_degree(graph.page_links(t.pages).select(F.col("url").alias("src"), F.col("link").alias("dst"))))
 
 

@@ -14,7 +14,7 @@ _NORM = f"regexp_replace(regexp_replace(lower(strip_accents(%s)), '{PUNCTUATION}
 
 
 def tokens(text: str) -> str:
-    return f"list_filter(string_split_regex({_NORM % text}, '\\s+'), x -> x <> '')"
+    return f"list_filter(string_split_regex({_NORM % text}, '\\s+'), lambda x: x <> '')"
 
 
 PARTS = {
@@ -52,8 +52,8 @@ PARTS = {
     "rp": "SELECT *, CAST(sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS BIGINT) AS hits FROM judged",
     "pr": "SELECT query_id, rank, doc_id, rel, hits, total, hits * 1.0e0 / rank AS precision, hits * 1.0e0 / total AS recall FROM rp",
     "gaps": "SELECT term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS gap FROM tf",
-    "links": "SELECT page_id, url, generate_subscripts(l, 1) - 1 AS at, unnest(l) AS link FROM (SELECT page_id, url, list_filter(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1), x -> x[1] <> '#') AS l FROM pages)",
-    "full_links": "SELECT page_id, url, at, CASE WHEN link[1] = '/' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || link ELSE link END AS link FROM links",
+    "links": "SELECT page_id, url, generate_subscripts(l, 1) - 1 AS place, unnest(l) AS link FROM (SELECT page_id, url, list_filter(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1), lambda x: x[1] <> '#') AS l FROM pages)",
+    "full_links": "SELECT page_id, url, place, CASE WHEN link[1] = '/' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || link ELSE link END AS link FROM links",
     "trade": "SELECT c_nationkey AS src, s_nationkey AS dst, count(*) * 1.0e0 AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2",
 }
 
