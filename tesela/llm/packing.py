@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
 from tesela.llm.common import table
+from tesela.llm.word_bpe import Merges
 
 WINDOW = 4096
 #: Costs, in padded tokens, of a window that ends at a sentence's end and of one that ends anywhere else in a document.
@@ -27,35 +29,58 @@ REMEMBERED = 300_000
 ODD = "[\x1c-\x1f]"
 
 
+#: Words whose parts the tokenizer takes as they are: Latin-1 letters, which no normal form changes and which have lower case
+#: one by one, and marks of which none begins a contraction or a special token.
+SIMPLE = re.compile("([a-zß-öø-ÿ]+)([.,!?;:%&#$*|]*)")
+
+
 class WordTokens:
     """Ids of whole texts by way of their words: the tokenizer drops white space and never joins across it, so a text's ids
-    are those of its white-space separated words, each of which is tokenised once for as long as it is remembered."""
+    are those of its white-space separated words, each of which is tokenised once for as long as it is remembered. The letters
+    of simple words are merged many at once, in lower case and without their marks; other words go through the library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Merges(path)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {}  # words: places in pairs
+        self.pairs = np.zeros((1 << 16, 2), np.int64)  # their letters and marks: places in ends; 0 is nothing
+        self.parts: dict[str, int] = {"": 0}
         self.ids = np.zeros(1 << 20, np.int32)
-        self.ends = np.zeros(REMEMBERED + 1, np.int64)
+        self.ends = np.zeros(1 << 16, np.int64)
+
+    def add(self, words: list[str], ids: list) -> None:
+        """Parts with their ids."""
+        n = len(self.parts)
+        if n + len(words) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(words)), np.int64)])
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        at, total = int(self.ends[n - 1]), int(size.sum())
+        if at + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), total), np.int32)])
+        self.ids[at : at + total] = np.concatenate([np.zeros(0, np.int32), *ids])
+        self.ends[n : n + len(words)] = at + np.cumsum(size)
+        self.parts.update(zip(words, range(n, n + len(words)), strict=True))
 
     def learn(self, new: list[str]) -> None:
+        simple = SIMPLE.fullmatch
+        split = [m.groups() if (m := simple(x.lower())) else (x, "") for x in new]
+        parts = self.parts
+        fresh = {a for pair in split for a in pair if a not in parts}
+        letters = [x for x in fresh if x.isalpha() and simple(x)]
+        other = list(fresh.difference(letters))
+        for a in range(0, len(other), 20_000):
+            some = other[a : a + 20_000]
+            self.add(some, [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
+        self.add(letters, self.merges.encode([x.encode() for x in letters]))
         n = len(self.known)
-        if n + len(new) >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(n + len(new) - len(self.ends) + 1, np.int64)])
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            flat = np.fromiter((i for x in found for i in x), np.int32)
-            at = self.ends[n]
-            if at + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), np.int32)])
-            self.ids[at : at + len(flat)] = flat
-            self.ends[n + 1 : n + 1 + len(part)] = at + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-            self.known.update(zip(part, range(n, n + len(part)), strict=True))
-            n += len(part)
+        if n + len(new) > len(self.pairs):
+            self.pairs = np.concatenate([self.pairs, np.zeros((max(len(self.pairs), len(new)), 2), np.int64)])
+        self.pairs[n : n + len(new)] = np.fromiter((parts[x] for pair in split for x in pair), np.int64, 2 * len(new)).reshape(-1, 2)
+        self.known.update(zip(new, range(n, n + len(new)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the offsets of the texts in them."""
@@ -69,15 +94,15 @@ class WordTokens:
         kinds = coded.dictionary.to_pylist()
         if len(self.known) + len(kinds) > REMEMBERED:
             self.forget()
-        known = self.known
-        if new := [x for x in kinds if x not in known]:
+        if new := [x for x in kinds if x not in self.known]:
             self.learn(new)
-        which = np.fromiter((known[x] for x in kinds), np.int64, len(kinds))[coded.indices.to_numpy()] if kinds else np.zeros(0, np.int64)
-        begin = np.where(which > 0, self.ends[which], 0)
-        size = self.ends[which + 1] - begin
+        places = np.fromiter(map(self.known.__getitem__, kinds), np.int64, len(kinds))
+        which = self.pairs[places][coded.indices.to_numpy()].ravel() if kinds else np.zeros(0, np.int64)
+        begin = np.where(which > 0, self.ends[which - 1], 0)
+        size = np.where(which > 0, self.ends[which] - begin, 0)
         to = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.arange(to[-1]) + np.repeat(begin - to[:-1], size)]
-        return ids, to[at - at[0]]
+        return ids, to[2 * (at - at[0])]
 
 
 @lru_cache(maxsize=2)
