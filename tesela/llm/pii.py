@@ -179,10 +179,11 @@ def redact(docs: DataFrame, config: DisclosureConfig = DisclosureConfig(), id_co
     by_doc = terms_by_document(rows, config).select(F.col("doc_id").alias("__pii_doc"), F.col("terms").alias("__pii_terms"))
     both = docs.join(by_doc, docs[id_col] == F.col("__pii_doc"), "left")
     text, terms = F.col(text_col), F.col("__pii_terms")
-    labelled = [F.transform(spans(text, k), lambda x, k=k: F.struct(x["start"], x["end"], F.lit(f"[{k.upper()}]").alias("by"))) for k in KINDS]
+    label = lambda found, by: F.transform(found, lambda x: F.struct(x["start"], x["end"], F.lit(by).alias("by")))
+    labelled = [label(spans(text, k), f"[{k.upper()}]") for k in KINDS]
     spaced = F.transform(F.split(text, GAP, -1), lambda w, i: F.struct(w.alias("m"), F.when(i == 0, 0).otherwise(1).alias("gap")))
     hits = F.when(F.size(terms) > 0, F.filter(places(spaced), lambda x: F.array_contains(terms, term(x["match"])))).otherwise(F.expr(EMPTY))
-    labelled.append(F.transform(hits, lambda x: F.struct(x["start"], x["end"], F.lit("").alias("by"))))
+    labelled.append(label(hits, ""))
     marks = F.array_sort(F.flatten(F.array(*labelled)))
     clean = F.aggregate(
         marks,
