@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -21,13 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the cluster's shared checkpoint folder, so that the loss of an executor loses no rows.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (local tests) a temporary one is made.
+    The folder is the session's spark.checkpoint.dir; only where none is set (local tests) a temporary one is made. Then the
+    driver collects garbage, upon which Spark deletes the shuffle files that only the cut lineage needed; they would stay until
+    the driver's heap happens to fill.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tesela-checkpoint-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return out
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

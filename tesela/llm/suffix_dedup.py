@@ -8,14 +8,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm.common import U64, blocks, mix, table, utf8
+from tesela.llm.common import U64, blocks, checkpoint, mix, table, utf8
 from tesela.llm.induced import sort_suffixes
 
 
+#: Bits of a key by which documents are first matched; a chance match only means a piece that meets nothing.
+KEY_BITS = U64(0xFFFFFFFFFFFF0000)
+
+
 @dataclass(frozen=True)
 class SuffixConfig:
     """length: bytes of a string that counts as repeated. gram: bytes of the strings whose least hash deals a window to a shard.
@@ -42,7 +45,6 @@ def window_keys(data: np.ndarray, config: SuffixConfig) -> np.ndarray:
         return x
 
     base = U64(0xD6E8FEB86659FD93)
-    # the hash of 2w bytes from those of w bytes; gram is a power of two
     grams = spread(data.astype(U64) + U64(1), 1, lambda a, b, width, step: mix(a * base + (b ^ U64(width))), config.gram)
     return spread(grams, 1, lambda a, b, width, step: np.minimum(a, b), config.length - config.gram + 1)[:n]
 
@@ -73,6 +75,7 @@ def key_rows(docs: DataFrame, config: SuffixConfig) -> DataFrame:
             data, offs = utf8(batch.column(1))
             for a, b in blocks(offs):
                 row, _, _, key = window_runs(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], config)
+                key = key & KEY_BITS
                 doc = batch.column(0).slice(a, b - a).to_numpy()[row] if len(row) else np.zeros(0, np.int64)
                 order = np.lexsort((doc, key))
                 key, doc = key[order], doc[order]
@@ -122,32 +125,74 @@ def shared_keys(docs: DataFrame, config: SuffixConfig) -> DataFrame:
     return rows.select("key", "doc_id", "sure").mapInArrow(run, "doc_id long, key long").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
-def pieces(docs: DataFrame, config: SuffixConfig, with_text: bool) -> DataFrame:
-    """key, d1, d2 (digest of the piece), doc_id, and start and count, or the piece itself.
+def pieces(docs: DataFrame, config: SuffixConfig) -> DataFrame:
+    """route, doc_id, piece, starts, count, and spans of documents that need no further look.
 
-    A piece is the text under a run of windows with one shared key."""
+    A piece is the text under a run of windows with one shared key; its route is the key. Inside a stretch of texts the
+    documents behind the first holder of a piece lose it for certain: their spans come merged, dealt evenly and without piece.
+    So a piece that a third of all documents hold meets others as one row for each stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = utf8(batch.column(1))
+            ids = batch.column(0).to_numpy()
             flat = batch.column(2).flatten().to_numpy().view(U64)
             at = batch.column(2).offsets.to_numpy()
             at = at - at[0]
             for a, b in blocks(offs):
-                row, start, count, key = window_runs(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], config)
-                mine = mix(flat[at[a] : at[b]] ^ np.repeat(np.arange(b - a, dtype=U64), np.diff(at[a : b + 1])) * U64(0x9E3779B97F4A7C15))
-                hit = np.isin(mix(key ^ row.astype(U64) * U64(0x9E3779B97F4A7C15)), mine)
+                part = data[offs[a] : offs[b]]
+                row, start, count, key = window_runs(part, offs[a : b + 1] - offs[a], config)
+                salt = np.arange(b - a, dtype=U64) * U64(0x9E3779B97F4A7C15)
+                mine = mix(flat[at[a] : at[b]] ^ np.repeat(salt, np.diff(at[a : b + 1])))
+                hit = np.isin(mix((key & KEY_BITS) ^ salt[row]), mine)
                 row, start, count, key = row[hit], start[hit], count[hit], key[hit]
-                begin = offs[a:b][row] + start
-                raw = data.tobytes() if not a and b == len(offs) - 1 else data[offs[a] : offs[b]].tobytes()
-                begin -= offs[a]
-                text = [raw[x:y] for x, y in zip(begin.tolist(), (begin + count + config.length - 1).tolist(), strict=True)]
-                digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, text)), ">i8").astype(np.int64).reshape(-1, 2)
-                doc = batch.column(0).slice(a, b - a).take(pa.array(row))
-                more = [pa.array(text, pa.binary())] if with_text else [pa.array(start), pa.array(count)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), doc, *more], ["key", "d1", "d2", "doc_id", *(["piece"] if with_text else ["start", "count"])])
-
-    return docs.mapInArrow(run, "key long, d1 long, d2 long, doc_id long, " + ("piece binary" if with_text else "start long, count long"))
+                begin, raw = (offs[a:b][row] + start - offs[a]).tolist(), part.tobytes()
+                groups: dict[bytes, list[int]] = {}
+                for i, (x, n) in enumerate(zip(begin, count.tolist(), strict=True)):
+                    groups.setdefault(raw[x : x + n + config.length - 1], []).append(i)
+                doc = ids[a:b][row] if len(row) else np.zeros(0, np.int64)
+                route, docs_, text, starts, counts = [], [], [], [], []
+                gone: dict[int, list[list[int]]] = {}
+                for piece, found in groups.items():
+                    first = min(doc[found].tolist())
+                    own = [i for i in found if doc[i] == first]
+                    route.append(int(key[found[0]].view(np.int64)))
+                    docs_.append(first)
+                    text.append(piece)
+                    starts.append(start[own].tolist())
+                    counts.append(int(count[found[0]]))
+                    for i in found:
+                        if doc[i] != first:
+                            gone.setdefault(int(doc[i]), []).append([int(start[i]), int(start[i]) + len(piece)])
+                spans = [None] * len(route)
+                for d, found in gone.items():
+                    route.append(d * 0x9E3779B97F4A7C15 + a & (1 << 63) - 1)
+                    docs_.append(d)
+                    text.append(None)
+                    starts.append(None)
+                    counts.append(None)
+                    spans.append(as_structs(merged(found)))
+                for lo in range(0, len(route), 10_000):
+                    cut = slice(lo, lo + 10_000)
+                    columns = [pa.array(route[cut], pa.int64()), pa.array(docs_[cut], pa.int64()), pa.array(text[cut], pa.binary()), pa.array(starts[cut], pa.list_(pa.int64())), pa.array(counts[cut], pa.int64()), pa.array(spans[cut], SPANS)]
+                    yield pa.RecordBatch.from_arrays(columns, ["route", "doc_id", "piece", "starts", "count", "spans"])
+
+    return docs.mapInArrow(run, "route long, doc_id long, piece binary, starts array<long>, count long, spans array<struct<start:bigint,end:bigint>>")
+
+
+def merged(spans: list) -> list[list[int]]:
+    """Maximal runs of spans (start, end) that meet or overlap."""
+    runs: list[list[int]] = []
+    for a, b in sorted(spans):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    return runs
+
+
+def as_structs(runs: list[list[int]]) -> list[dict]:
+    return [{"start": a, "end": b} for a, b in runs]
 
 
 def earliest(pieces_: list[bytes], doc: np.ndarray, config: SuffixConfig) -> np.ndarray:
@@ -167,69 +212,82 @@ def earliest(pieces_: list[bytes], doc: np.ndarray, config: SuffixConfig) -> np.
     return out
 
 
-def first_holders(found: DataFrame, config: SuffixConfig) -> DataFrame:
-    """key, d1, d2, first (the least document with the piece), wins (array of start, count: its windows that a document before
-    that one holds, in other pieces). found: pieces with their text."""
-    distinct = found.groupBy("key", "d1", "d2", "piece").agg(F.min("doc_id").alias("first"))
-    dealt = distinct.repartition("key").sortWithinPartitions("key", "d1", "d2")
-    wins = pa.list_(pa.struct([("start", pa.int64()), ("count", pa.int64())]))
-
-    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        part = pa.Table.from_batches(rows).combine_chunks()
-        text, doc = part["piece"].to_pylist(), part["first"].to_numpy()
-        least = earliest(text, doc, config)
-        at, out = 0, []
-        for x, d in zip(text, doc.tolist(), strict=True):
-            early = np.flatnonzero(np.diff(np.concatenate([[0], least[at : at + len(x)] < d, [0]])))
-            out.append([{"start": int(a), "count": int(b - a)} for a, b in early.reshape(-1, 2)])
-            at += len(x) + 1
-        return pa.RecordBatch.from_arrays([*(part[c].combine_chunks() for c in ("key", "d1", "d2", "first")), pa.array(out, wins)], ["key", "d1", "d2", "first", "wins"])
+def solved(rows: list[pa.RecordBatch], config: SuffixConfig) -> pa.RecordBatch:
+    """doc_id and spans of a shard's pieces: what documents lose of them. Equal pieces are sorted once, with their least document;
+    a piece that is the only one under its key shares no window with another and isn't sorted."""
+    part = pa.Table.from_batches(rows).combine_chunks()
+    key, doc, text, starts, count = (part[c].to_pylist() for c in ("route", "doc_id", "piece", "starts", "count"))
+    first: dict[bytes, int] = {}
+    under: dict[int, set[bytes]] = {}
+    for k, x, d in zip(key, text, doc, strict=True):
+        first[x] = min(d, first.get(x, d))
+        under.setdefault(k, set()).add(x)
+    met = sorted(x for found in under.values() if len(found) > 1 for x in found)
+    least = earliest(met, np.array([first[x] for x in met]), config) if met else None
+    at, wins = 0, {}
+    for x in met:
+        early = np.diff(np.concatenate([[0], least[at : at + len(x)] < first[x], [0]])).nonzero()[0]
+        if len(early):
+            wins[x] = early.reshape(-1, 2).tolist()
+        at += len(x) + 1
+    gone: dict[int, list] = {}
+    for x, d, own, n in zip(text, doc, starts, count, strict=True):
+        lost = [[0, n]] if d > first[x] else wins.get(x, [])
+        if lost:
+            gone.setdefault(d, []).extend([s + a, s + b + config.length - 1] for s in own for a, b in lost)
+    return pa.RecordBatch.from_arrays([pa.array(gone.keys(), pa.int64()), pa.array([as_structs(merged(x)) for x in gone.values()], SPANS)], ["doc_id", "spans"])
+
+
+def removals(found: DataFrame, config: SuffixConfig) -> DataFrame:
+    """doc_id, spans of what pieces() found, shard by shard: a shard is some keys with all their pieces."""
+    dealt = found.repartition("route").sortWithinPartitions("route")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, last = 0, None
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                key = batch.column("key").to_numpy()
-                length = np.cumsum(np.diff(batch.column("piece").offsets.to_numpy())[at:]) if hasattr(batch.column("piece"), "offsets") else np.cumsum([len(x.as_py()) for x in batch.column("piece").slice(at)])
-                if size >= config.shard:  # a shard ends with a key
-                    last = held[-1].column("key")[-1].as_py()
-                    stop = at + int(np.argmax(key[at:] != last)) if (key[at:] != last).any() else batch.num_rows
-                    if stop > at:
-                        held.append(batch.slice(at, stop - at))
-                        at = stop
-                    if at < batch.num_rows:
-                        yield solve(held)
-                        held, size = [], 0
-                    continue
-                stop = min(batch.num_rows, at + int(np.searchsorted(length, config.shard - size)) + 1)
-                held.append(batch.slice(at, stop - at))
-                size += int(length[stop - at - 1])
-                at = stop
+            sure = batch.filter(batch.column("spans").is_valid())
+            if sure.num_rows:
+                yield sure.select(["doc_id", "spans"])
+            batch = batch.filter(batch.column("piece").is_valid())
+            if not batch.num_rows:
+                continue
+            key = batch.column("route").to_numpy()
+            end = np.cumsum([len(x) for x in batch.column("piece").to_pylist()])
+            edges = np.flatnonzero(np.append([last is None or key[0] != last], key[1:] != key[:-1])).tolist()
+            at, done = 0, 0
+            for edge in edges:  # a shard may end where a key begins
+                grown = size + (int(end[edge - 1]) if edge else 0) - done
+                if grown >= config.shard:
+                    held.append(batch.slice(at, edge - at))
+                    yield solved([x for x in held if x.num_rows], config)
+                    held, size, at = [], 0, edge
+                    done = int(end[edge - 1]) if edge else 0
+            held.append(batch.slice(at))
+            size += int(end[-1]) - done
+            last = key[-1]
         if held:
-            yield solve(held)
+            yield solved(held, config)
 
-    return dealt.mapInArrow(run, "key long, d1 long, d2 long, first long, wins array<struct<start:bigint,count:bigint>>")
+    return dealt.mapInArrow(run, "doc_id long, spans array<struct<start:bigint,end:bigint>>")
 
 
 def repeated_spans(docs: DataFrame, config: SuffixConfig = SuffixConfig()) -> DataFrame:
     """doc_id, spans (array of start and end bytes; they may overlap). docs: doc_id and text, without null ids.
 
     1. Each window of `length` bytes has a key, the least hash of its short strings; only keys of several documents matter.
-    2. Pieces of text under runs of windows with one such key are dealt by key; equal pieces are pre-aggregated to one with
-    its first document. So equal windows meet, and a piece that a third of all documents hold meets once.
-    3. Shards of pieces are sorted by external induced sorting; neighbours with `length` bytes in common are equal windows.
+    2. Pieces of text under runs of windows with one such key are dealt by key, so equal windows meet; of equal pieces of a
+    stretch only the first document's one goes.
+    3. Shards of different pieces are sorted by external induced sorting; neighbours with `length` bytes in common are equal
+    windows, whose least document is known then.
     4. A later document loses a piece that an earlier one holds, and the first holder what other pieces hold before it.
+
+    Steps 1 and 4 are cut, so that a lost executor costs one step at most and finished shuffles can be deleted.
     """
-    keyed = docs.join(shared_keys(docs, config), "doc_id").select("doc_id", "text", "keys")
-    holders = first_holders(pieces(keyed, config, True), config)
-    met = pieces(keyed, config, False).join(holders, ["key", "d1", "d2"])
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("count")))
-    part = F.when(F.col("doc_id") > F.col("first"), whole).otherwise(F.col("wins"))
-    spans = met.select("doc_id", "start", F.explode(part).alias("w"))
-    begin = F.col("start") + F.col("w.start")
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct(begin.alias("start"), (begin + F.col("w.count") + (config.length - 1)).alias("end"))).alias("spans"))
+    shared = checkpoint(shared_keys(docs, config))
+    keyed = docs.join(shared, "doc_id").select("doc_id", "text", "keys")
+    found = removals(pieces(keyed, config), config)
+    return checkpoint(found.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -253,17 +311,13 @@ def suffix_dedup(docs: DataFrame, config: SuffixConfig = SuffixConfig(), id_col:
                 data, offs = utf8(part.column(1))
                 spans, kept = [], []
                 for i, found in enumerate(part.column(2).to_pylist()):
-                    text, runs, left, at = data[offs[i] : offs[i + 1]].tobytes(), [], [], 0
-                    for x in sorted((x["start"], x["end"]) for x in found or []):
-                        if runs and x[0] <= runs[-1][1]:
-                            runs[-1][1] = max(runs[-1][1], x[1])
-                        else:
-                            runs.append([*x])
+                    text, left, at = data[offs[i] : offs[i + 1]].tobytes(), [], 0
+                    runs = merged([(x["start"], x["end"]) for x in found or []])
                     for a, b in runs:
                         left.append(text[at:a])
                         at = b
                     kept.append(b"".join([*left, text[at:]]))
-                    spans.append([{"start": a, "end": b} for a, b in runs])
+                    spans.append(as_structs(runs))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, SPANS), pa.array(np.diff(offs)), pa.array(kept, pa.binary())], ["doc_id", "spans", "n_bytes", "kept"])
 
     return both.mapInArrow(cut, "doc_id long, spans array<struct<start:bigint,end:bigint>>, n_bytes long, kept binary")
