@@ -52,22 +52,24 @@ def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig, id_col: str =
     """Log ratios by bucket and the score from which labelled rows count as clean.
 
     labels has doc_id, quality and toxic; a row is clean with quality 1 and toxic other than 1. Of several labels of an id
-    the worst holds; null labels and ids count for nothing. Two passes over the texts; the driver gets a row for each
+    the worst holds; null labels and ids count for nothing. The target model sees one half of the labelled rows and the cut is set
+    on the other, as rows that the model has seen score higher than unlabelled ones. Two passes over the texts; the driver gets a row for each
     bucket and one for each labelled row, both bounded.
     """
     good = (F.coalesce(F.col("quality"), F.lit(0)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) != 1)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(good.cast("int")).alias("good"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.max_labelled)
+    known = known.withColumn("half", F.pmod(F.xxhash64(F.lit(config.seed), "doc_id"), F.lit(2)))
     bounded = F.broadcast(known.withColumnRenamed("doc_id", "known_id"))  # max_labelled rows at most
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    rows = rows.join(bounded, F.col("doc_id") == F.col("known_id"), "left").select("text", F.coalesce("good", F.lit(-1)).alias("good"))
+    rows = rows.join(bounded, F.col("doc_id") == F.col("known_id"), "left").select("text", F.coalesce("good", F.lit(-1)).alias("good"), "half")
     m = config.buckets
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(m, np.int64), np.zeros(m, np.int64)
         for batch in batches:
             data, offs = utf8(batch.column(0))
-            chosen = batch.column(1).to_numpy(zero_copy_only=False) == 1
+            chosen = (batch.column(1).to_numpy(zero_copy_only=False) == 1) & (batch.column(2).to_numpy(zero_copy_only=False) == 0)
             for a, b in blocks(offs):
                 found, row = features(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], m)
                 raw += np.bincount(found, minlength=m)
@@ -81,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: QualityConfig, id_col: str =
         raw[counted[:, 0]], target[counted[:, 0]] = counted[:, 1], counted[:, 2]
     model = lambda x: np.log((x + config.smoothing) / (x.sum() + config.smoothing * m))
     ratios = model(target) - model(raw)
-    labelled = scored(rows.where("good >= 0"), ratios, "text").select("score", "good").toPandas()
+    labelled = scored(rows.where("good >= 0 and half = 1"), ratios, "text").select("score", "good").toPandas()
     return ratios, clean_cut(labelled["score"].to_numpy(), labelled["good"].to_numpy() == 1, config.clean_weight)
 
 

@@ -288,8 +288,9 @@ def test_patience_keeps_order():
 
 def test_quality(spark, docs, none):
     rng = random.Random(3)
-    good = [(i, passage(rng, 60)) for i in range(300)]
-    bad = [(i, "".join(f"{w}!! " for w in passage(rng, 60).upper().split())) for i in range(300, 360)]
+    known = passage(rng, 150).split()
+    good = [(i, " ".join(rng.choice(known) for _ in range(60))) for i in range(300)]
+    bad = [(i, " ".join(f"{rng.choice(known).upper()}!!" for _ in range(60))) for i in range(300, 360)]
     df = frame(spark, good + bad)
     labels = spark.createDataFrame([(i, int(i < 300), 0) for i in range(0, 360, 2)] + [(None, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int")
     kept = {r.doc_id: r.kept for r in quality.quality_scores(df, labels).collect()}
