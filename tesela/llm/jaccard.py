@@ -73,8 +73,36 @@ def frequent_tokens(reps: DataFrame, n_sets: int, config: JaccardConfig) -> np.n
     return np.sort(top.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
+def sketch_bytes(size: np.ndarray) -> np.ndarray:
+    """Bytes of a set's sketch: a power of two of bits, four to eight for each token, 64 bits at least."""
+    return 1 << np.maximum(3, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64) - 1)
+
+
+def sketches(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set the parity of its tokens in each of the places that a hash of them gives. Sketches of two sets differ in as
+    many places as the sets do, or fewer; folding a sketch in half gives the one of half its size."""
+    size = np.diff(at)
+    width = sketch_bytes(size)
+    row = np.repeat(np.arange(len(size)), size)
+    bit = (mix(h + U64(0x9E3779B97F4A7C15)) % (width[row] * 8).astype(U64)).astype(np.int64)
+    ends = np.cumsum(width)
+    flat = np.bincount((ends - width)[row] * 8 + bit, minlength=int(ends[-1]) * 8 if len(ends) else 0)
+    packed = np.packbits((flat & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[e - w : e] for e, w in zip(ends.tolist(), width.tolist(), strict=True)]
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A bound from below of the tokens in one of two sets only, from their sketches."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and two digests of the set."""
+    """doc_id, n_shingles, two digests of the set and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, h, at in each_block(batches, n):
@@ -82,9 +110,9 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
             place = np.concatenate([np.zeros(1, U64), np.cumsum(h, dtype=U64)])
             again = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h ^ U64(0x94D049BB133111EB)), dtype=U64)])
             d1, d2 = (mix(x[at[1:]] - x[at[:-1]] + size.astype(U64)).view(np.int64) for x in (place, again))
-            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (size, d1, d2))], ["doc_id", "n_shingles", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (size, d1, d2)), pa.array(sketches(h, at), pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, n_shingles long, d1 long, d2 long")
+    return docs.mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, n_shingles long, d1 long, d2 long, sketch binary")
 
 
 def list_entries(reps: DataFrame, frequent, config: JaccardConfig) -> DataFrame:
@@ -208,8 +236,18 @@ def open_pairs(labelled: DataFrame, config: JaccardConfig) -> DataFrame:
     return labelled.mapInArrow(run, "a long, b long").distinct()
 
 
-def links(pairs: DataFrame, reps: DataFrame, config: JaccardConfig) -> DataFrame:
-    """The pairs that link: both whole sets are compared."""
+def links(pairs: DataFrame, reps: DataFrame, sets_: DataFrame, config: JaccardConfig) -> DataFrame:
+    """The pairs that link. Where the sketches differ in more places than linked sets can, they don't; else both whole sets are
+    compared. sets_: doc_id, n_shingles, sketch."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            most = a + b - 2 * least_overlap(a, b, config.percent)
+            differ = [least_difference(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            ok = pa.array(np.array(differ, np.int64) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, h, at in each_block(batches, config.n):
@@ -228,6 +266,9 @@ def links(pairs: DataFrame, reps: DataFrame, config: JaccardConfig) -> DataFrame
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
+    left = sets_.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+    right = sets_.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    pairs = checkpoint(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(likely, "a long, b long"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     hashed = checkpoint(reps.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, h binary"))
     left, right = hashed.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), hashed.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"))
@@ -274,6 +315,7 @@ def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig(),
     n_sets = classes.count()
     frequent = context.broadcast(frequent_tokens(rows, n_sets, config))  # at most max_frequent tokens
     reps = rows.where("doc_id is not null").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    of_reps = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch")
     entries = list_entries(reps, frequent, config).repartition("token").sortWithinPartitions("token", "doc_id")
 
     def multiple(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,18 +323,18 @@ def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig(),
             yield pa.RecordBatch.from_pandas(part, preserve_index=False)
 
     multi = checkpoint(entries.mapInArrow(multiple, entries.schema))
-    first = checkpoint(links(star_pairs(multi, config), reps, config))
+    first = checkpoint(links(star_pairs(multi, config), reps, of_reps, config))
     label = components(first)
     labelled = multi.join(label, "doc_id", "left").select("token", "doc_id", "size", "pos", F.coalesce("comp", "doc_id").alias("comp"))
     ends = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     lists = labelled.join(ends, "token", "left_semi").repartition("token").sortWithinPartitions("token", "size", "pos", "doc_id")
-    second = checkpoint(links(checkpoint(open_pairs(lists, config)), reps, config))
+    second = checkpoint(links(open_pairs(lists, config), reps, of_reps, config))
     edges = first.unionByName(second)
     final = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
     of_class = classes.join(final, classes["rep"] == final["doc_id"], "left").drop("doc_id").join(degree, "rep", "left")
     of_class = of_class.select("d1", "d2", "n_shingles", F.coalesce("comp", "rep").alias("component_id"), (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = sets.join(of_class, ["d1", "d2", "n_shingles"], "left")
+    out = sets.drop("sketch").join(of_class, ["d1", "d2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
