@@ -86,7 +86,7 @@ def test_phrase_and_distance(spark, corpus):
     q = queries(spark, ["el", "come"], ["la", "gato"], ["casa", "casa"])
     assert pairs(retrieval.near(q, occ, 1)) == [(1, 1)]
     assert pairs(retrieval.near(q, occ, 3)) == [(1, 1), (2, 2)]
-    assert pairs(retrieval.near(q, occ, 1, "left")) == [] and pairs(retrieval.near(q, occ, 2, "right")) == [(1, 1)]
+    assert pairs(retrieval.near(q, occ, 1, "left")) == [(1, 1)] and pairs(retrieval.near(q, occ, 1, "right")) == [] and pairs(retrieval.near(q, occ, 2, "right")) == [(1, 1)]
     assert pairs(retrieval.near(q, occ, 0)) == []
 
 
