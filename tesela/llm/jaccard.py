@@ -16,14 +16,14 @@ from tesela.llm.common import U64, blocks, checkpoint, mix, ngrams, table, utf8,
 
 @dataclass(frozen=True)
 class JaccardConfig:
-    """n: words of a shingle. percent: least similarity. frequent_share: tokens in more than this share of the sets come
-    last in the order of tokens. max_frequent: how many of them are sent to all tasks, the most frequent first. Both touch
-    the order alone, and every order gives the same links. block: entries of a list whose sizes and positions are looked
+    """n: words of a shingle. percent: least similarity. frequent: tokens counted more often come last in the order of
+    tokens. max_frequent: how many of them are sent to all tasks (8 MB), the most frequent first. Both touch the order alone,
+    and every order gives the same links. block: entries of a list whose sizes and positions are looked
     at as one block."""
 
     n: int = 5
     percent: int = 75
-    frequent_share: float = 1 / 2000
+    frequent: int = 8
     max_frequent: int = 1 << 20
     block: int = 64
 
@@ -57,10 +57,8 @@ def each_block(batches: Iterator[pa.RecordBatch], n: int):
             yield batch.column(0).slice(a, b - a), *shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], n)
 
 
-def frequent_tokens(reps: DataFrame, n_sets: int, config: JaccardConfig) -> np.ndarray:
-    """Tokens that more than a share of the sets hold, as far as a stretch of texts shows them twice; sorted.
-
-    At most (tokens in a set on average) / share of them exist, whatever the number of sets, and max_frequent are kept."""
+def frequent_tokens(reps: DataFrame, config: JaccardConfig) -> np.ndarray:
+    """The most frequent tokens, as far as a stretch of texts shows them twice; sorted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, h, _ in each_block(batches, config.n):
@@ -69,7 +67,7 @@ def frequent_tokens(reps: DataFrame, n_sets: int, config: JaccardConfig) -> np.n
             yield pa.RecordBatch.from_arrays([pa.array(token[more].view(np.int64)), pa.array(times[more])], ["token", "n"])
 
     counted = reps.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") > max(8, n_sets * config.frequent_share)).orderBy(F.desc("n"), "token").limit(config.max_frequent)
+    top = counted.where(F.col("n") > config.frequent).orderBy(F.desc("n"), "token").limit(config.max_frequent)
     return np.sort(top.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -312,8 +310,7 @@ def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig(),
     known = sets.where("doc_id is not null and n_shingles > 0")
     classes = known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = checkpoint(classes)
-    n_sets = classes.count()
-    frequent = context.broadcast(frequent_tokens(rows, n_sets, config))  # at most max_frequent tokens
+    frequent = context.broadcast(frequent_tokens(rows, config))  # at most max_frequent tokens
     reps = rows.where("doc_id is not null").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     of_reps = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch")
     entries = list_entries(reps, frequent, config).repartition("token").sortWithinPartitions("token", "doc_id")
