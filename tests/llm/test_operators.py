@@ -302,6 +302,25 @@ def test_quality(spark, docs, none):
     assert quality.quality_scores(none, labels).count() == 0 and quality.keep_quality(none, labels).count() == 0
 
 
+def test_quality_rejects_toxic_prose(spark):
+    """Toxic texts of ordinary words with a few telling ones go, labelled or not."""
+    rng = random.Random(8)
+    known, telling = passage(rng, 150).split(), [f"vile{c}" for c in "abcdef"]
+    rows = []
+    for i in range(480):
+        own = [rng.choice(known) for _ in range(80)]
+        if i % 6 == 0:
+            for at in rng.sample(range(80), 4):
+                own[at] = f"{rng.choice(telling)},"
+        rows.append((i, " ".join(own)))
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(480) if i % 4 < 2], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in quality.quality_scores(frame(spark, rows), labels).collect()}
+    held_out = [i for i in kept if i % 4 >= 2]
+    assert sum(kept[i] for i in held_out if i % 6 == 0) <= 2
+    assert sum(kept[i] for i in held_out if i % 6) >= 0.95 * sum(i % 6 > 0 for i in held_out)
+    assert {r.doc_id for r in quality.keep_quality(frame(spark, rows), labels).collect()} == {i for i in kept if kept[i]}
+
+
 def test_kth_largest(spark):
     values = [random.Random(4).randint(-(10**9), 10**9) for _ in range(500)] + [7] * 20
     df = spark.createDataFrame([(v,) for v in values], "z long")
