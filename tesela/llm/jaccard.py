@@ -19,13 +19,14 @@ class JaccardConfig:
     """n: words of a shingle. percent: least similarity. frequent: tokens counted more often come last in the order of
     tokens. max_frequent: how many of them are sent to all tasks (8 MB), the most frequent first. Both touch the order alone,
     and every order gives the same links. block: entries of a list whose sizes and positions are looked
-    at as one block."""
+    at as one block. part: sets of a component whose links one task counts."""
 
     n: int = 5
     percent: int = 75
     frequent: int = 8
     max_frequent: int = 1 << 20
     block: int = 64
+    part: int = 2048
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,6 +235,17 @@ def open_pairs(labelled: DataFrame, config: JaccardConfig) -> DataFrame:
     return labelled.mapInArrow(run, "a long, b long").distinct()
 
 
+def whole_sets(reps: DataFrame, n: int) -> DataFrame:
+    """doc_id, h: the sorted set as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, h, at in each_block(batches, n):
+            raw = h.tobytes()
+            yield pa.RecordBatch.from_arrays([ids, pa.array([raw[8 * x : 8 * y] for x, y in zip(at, at[1:])], pa.binary())], ["doc_id", "h"])
+
+    return reps.mapInArrow(run, "doc_id long, h binary")
+
+
 def links(pairs: DataFrame, reps: DataFrame, sets_: DataFrame, config: JaccardConfig) -> DataFrame:
     """The pairs that link. Where the sketches differ in more places than linked sets can, they don't; else both whole sets are
     compared. sets_: doc_id, n_shingles, sketch."""
@@ -246,12 +258,6 @@ def links(pairs: DataFrame, reps: DataFrame, sets_: DataFrame, config: JaccardCo
             ok = pa.array(np.array(differ, np.int64) <= most)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, h, at in each_block(batches, config.n):
-            raw = h.tobytes()
-            yield pa.RecordBatch.from_arrays([ids, pa.array([raw[8 * x : 8 * y] for x, y in zip(at, at[1:])], pa.binary())], ["doc_id", "h"])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -268,7 +274,7 @@ def links(pairs: DataFrame, reps: DataFrame, sets_: DataFrame, config: JaccardCo
     right = sets_.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
     pairs = checkpoint(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(likely, "a long, b long"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    hashed = checkpoint(reps.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, h binary"))
+    hashed = checkpoint(whole_sets(reps.join(wanted, "doc_id", "left_semi"), config.n))
     left, right = hashed.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), hashed.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long")
 
@@ -290,8 +296,79 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links), n_links.
+def linked_copies(sets: list[np.ndarray], copies: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
+    """For each place in own, the copies of all different sets that link with the set there, itself among them.
+
+    The tokens that most of the sets hold stand in for one set like all of them. Each set is known by its difference from it,
+    and the overlap of two sets follows from the overlap of their differences: common - lacks of both + shared difference."""
+    k, size = len(sets), np.array([len(x) for x in sets])
+    token, ids, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    member = np.repeat(np.arange(k), size)
+    place = np.where(2 * df > k, np.cumsum(2 * df > k) - 1, -1)[ids]
+    common = int((2 * df > k).sum())
+    present = np.zeros((common, k), bool)
+    present[place[place >= 0], member[place >= 0]] = True
+    lack, lacks = np.nonzero(~present)
+    missing = np.bincount(lacks, minlength=k)
+    rare = place < 0
+    key, who = np.concatenate([ids[rare] + common, lack]), np.concatenate([member[rare], lacks])
+    order = np.argsort(key, kind="stable")
+    _, start, width = np.unique(key[order], return_index=True, return_counts=True)
+    held = who[order]
+    entry = np.repeat(np.arange(len(start)), width)
+    by = np.argsort(held, kind="stable")
+    edges = np.searchsorted(held[by], np.arange(k + 1))
+    out = np.zeros(len(own), np.int64)
+    for i, a in enumerate(own):
+        lists = entry[by[edges[a] : edges[a + 1]]]
+        n = width[lists]
+        at = np.repeat(start[lists] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = common - missing[a] - missing + np.bincount(held[at], minlength=k)
+        out[i] = copies[100 * both >= percent * (size[a] + size - both)].sum()
+    return out
+
+
+def link_counts(labels: DataFrame, classes: DataFrame, reps: DataFrame, config: JaccardConfig) -> DataFrame:
+    """rep, linked: the documents whose sets link with each set that has an edge, its own copies among them.
+
+    All links are inside components (labels: doc_id, comp). A task counts for `part` sets of one component, and holds the whole
+    component; larger components go to several tasks. No pairs are written."""
+    parts = labels.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / config.part).cast("int").alias("parts"))
+    rows = labels.join(parts, "comp").join(classes.select(F.col("rep").alias("doc_id"), "copies"), "doc_id")
+    rows = rows.join(whole_sets(reps, config.n), "doc_id")
+    rows = rows.select("comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("home"), "doc_id", "copies", "h")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in whole_groups(batches):
+            doc, at = np.unique(group["doc_id"].to_numpy(), return_index=True)  # repeated rows are one document
+            own = np.flatnonzero((group["home"] == group["part"]).to_numpy()[at])
+            sets = [np.frombuffer(x, U64) for x in group["h"].to_numpy()[at]]
+            linked = linked_copies(sets, group["copies"].to_numpy()[at], own, config.percent)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(linked)], ["rep", "linked"])
+
+    return rows.repartition("comp", "part").sortWithinPartitions("comp", "part").mapInArrow(count, "rep long, linked long")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """The rows of one (comp, part) at a time, from rows that come sorted by them."""
+    rest: list[pd.DataFrame] = []
+    for batch in batches:
+        part = batch.to_pandas()
+        if not len(part):
+            continue
+        comp, number = part["comp"].to_numpy(), part["part"].to_numpy()
+        edges = [0, *(np.flatnonzero((comp[1:] != comp[:-1]) | (number[1:] != number[:-1])) + 1), len(part)]
+        for a, b in zip(edges, edges[1:]):
+            if rest and (rest[0]["comp"].iloc[0], rest[0]["part"].iloc[0]) != (comp[a], number[a]):
+                yield pd.concat(rest, ignore_index=True)
+                rest = []
+            rest.append(part.iloc[a:b])
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
+
+
+def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), id_col: str = "doc_id", text_col: str = "text", with_links: bool = True) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links) and, if with_links, n_links.
 
     Sets link when 100 * intersection >= percent * union. Equal sets are one set, whose answers hold for all its copies.
     Every set enters the lists of its first tokens. A first round compares each entry of a list with the list's first
@@ -299,8 +376,8 @@ def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig(),
     and a second round compares only sets of different components, in blocks by size and position. Rounds compare whole sets,
     and every pair that the bounds allow is in one component or compared, so no link between components is lost.
 
-    n_links counts the copies of the same set and the links found, of which those that the first round made needless are not
-    part. A text without words or null has an empty set and links with nothing: its component is itself. Repeated rows of an
+    n_links counts the other documents whose sets link with the row's set, copies of it among them. It is counted inside the
+    components at the end, from the differences of their sets. A text without words or null has an empty set and links with nothing: its component is itself. Repeated rows of an
     id are the same document. Rows with a null id have a null component. Other columns aren't read. An empty table gives
     no rows. Ids are whole numbers.
     """
@@ -308,7 +385,7 @@ def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig(),
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     sets = checkpoint(set_rows(rows, config.n))
     known = sets.where("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    classes = known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
     classes = checkpoint(classes)
     frequent = context.broadcast(frequent_tokens(rows, config))  # at most max_frequent tokens
     reps = rows.where("doc_id is not null").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
@@ -328,12 +405,15 @@ def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig(),
     second = checkpoint(links(open_pairs(lists, config), reps, of_reps, config))
     edges = first.unionByName(second)
     final = components(edges)
-    degree = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-    of_class = classes.join(final, classes["rep"] == final["doc_id"], "left").drop("doc_id").join(degree, "rep", "left")
-    of_class = of_class.select("d1", "d2", "n_shingles", F.coalesce("comp", "rep").alias("component_id"), (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    of_class = classes.join(final, classes["rep"] == final["doc_id"], "left").drop("doc_id")
+    if with_links:
+        of_class = of_class.join(link_counts(final, classes, reps, config), "rep", "left")
+        of_class = of_class.withColumn("n_links", F.coalesce("linked", "copies") - 1)
+    names = ["n_links"] if with_links else []
+    of_class = of_class.select("d1", "d2", "n_shingles", F.coalesce("comp", "rep").alias("component_id"), *names)
     out = sets.drop("sketch").join(of_class, ["d1", "d2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), *(F.coalesce(x, F.lit(0)).alias(x) for x in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

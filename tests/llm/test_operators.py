@@ -123,6 +123,33 @@ def test_jaccard_chains(spark):
     assert got == brute_components(rows)
 
 
+def brute_links(rows, percent=75):
+    sets = {}
+    for i, x in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    return {i: sum(j != i and 100 * len(a & b) >= percent * len(a | b) > 0 for j, b in sets.items()) for i, a in sets.items()}
+
+
+@pytest.mark.parametrize("part", [7, 2048])
+def test_jaccard_counts_all_links(spark, part):
+    """Near copies that all link, chains in which some do, copies of both and repeated rows, in one and in several tasks."""
+    rng = random.Random(12)
+    rows, base = [], passage(rng, 120).split()
+    for k in range(30):
+        near = list(base)
+        near[rng.randrange(120)] = f"n{k}"
+        rows.append((k, " ".join(near)))
+    for k in range(40):
+        base = list(base)
+        base[rng.randrange(120)] = f"w{k}"
+        rows.append((100 + k, " ".join(base)))
+    rows += [(200 + k, rows[rng.randrange(70)][1]) for k in range(20)] + [(300, "a b c"), (301, "a b c"), (302, None), (303, "d")]
+    config = jaccard.JaccardConfig(part=part)
+    got = {r.doc_id: r.n_links for r in jaccard.jaccard_components(frame(spark, [*rows, rows[3], rows[50]]), config).collect()}
+    assert got == brute_links(rows)
+
+
 def test_sketches_bound_differences():
     rng = np.random.RandomState(1)
     for _ in range(50):
