@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -22,13 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the cluster's shared checkpoint folder, so that the loss of an executor loses no rows.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (local tests) a temporary one is made. Then the
-    driver collects garbage, upon which Spark deletes the shuffle files that only the cut lineage needed; they would stay until
+    The folder is the session's spark.checkpoint.dir; only where none is set and the driver runs all tasks itself (local tests)
+    a temporary one is made. Then the driver collects garbage, upon which Spark deletes the shuffle files that only the cut lineage needed; they would stay until
     the driver's heap happens to fill.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tesela-checkpoint-"))
     out = df.checkpoint(eager=True)
     del df
@@ -69,18 +72,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_BASE = 0x2545F4914F6CDD1D | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers.get(kind, ())) < n:
-        x = np.full(max(n, 1 << 16), _BASE if kind == "up" else _INVERSE, U64)
-        x[0] = 1
-        _powers[kind] = np.cumprod(x, dtype=U64)
-    return _powers[kind]
+ODD = U64(0x9E3779B97F4A7C15)
+#: Masks of the first k bytes of a lane.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Bytes of a word up to which lanes are mixed for many words at once; longer words are hashed one by one.
+LONG_WORD = 64
 
 
 #: Word breaks: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -96,49 +92,62 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     return hashes, np.searchsorted(at, offsets).astype(np.int64)
 
 
-def word_places(data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks: np.ndarray = _BREAK) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all rows, in order, and the bytes where they begin. breaks: which bytes part words."""
+def word_edges(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _BREAK) -> tuple[np.ndarray, np.ndarray]:
+    """First and end bytes of the words of all rows; a row's end ends a word. breaks: which bytes part words."""
     n = len(data)
-    if not n:
+    solid = ~breaks[data]
+    begins, ends = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1]
+    ends[:-1] &= ~solid[1:]
+    edge = offsets[(offsets > 0) & (offsets < n)]
+    begins[edge], ends[edge - 1] = solid[edge], solid[edge - 1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray, lower: bool = True, breaks: np.ndarray = _BREAK) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all rows, in order, and the bytes where they begin."""
+    if not len(data):
         return np.zeros(0, U64), np.zeros(0, np.int64)
     if lower:
         data = _LOWER[data]
-    solid = ~breaks[data]
-    first = np.zeros(n + 1, bool)
-    first[offsets] = True
-    begins = solid.copy()
-    begins[1:] &= ~solid[:-1] | first[1:-1]
-    ends = solid.copy()
-    ends[:-1] &= ~solid[1:] | first[1:-1]
-    at, to = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(_TABLE[data] * _power("up", n)[:n], dtype=U64, out=sums[1:])
-    return mix((sums[to] - sums[at]) * _power("down", n)[at]), at
-
-
-def sequence_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of hashes[begin:end] for each pair."""
-    n = len(hashes)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(hashes * _power("up", n + 1)[:n], dtype=U64, out=sums[1:])
-    return mix((sums[end] - sums[begin]) * _power("down", n + 1)[begin] + (end - begin).astype(U64))
+    at, to = word_edges(data, offsets, breaks)
+    return hash_words(data, at, to), at
+
+
+def hash_words(data: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[at:to] for each pair. Lanes of eight bytes are mixed, each into what the lanes before it gave, so
+    that no arrangement of equal letters cancels out; words of over LONG_WORD bytes get XXH3."""
+    size = to - at
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix(size.astype(U64) * ODD ^ (lanes[at] & _FIRST[np.minimum(size, 8)]))
+    left, k = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(left):
+        out[left] = mix((out[left] + ODD) ^ (lanes[at[left] + k] & _FIRST[np.minimum(size[left] - k, 8)]))
+        k += 8
+        left = left[size[left] > k]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[at[i] : to[i]])
+    return out
 
 
 def ngrams(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-word sequences inside a row and the row of each; a row of one to n-1 words gives its whole sequence."""
     counts = np.diff(offsets)
-    total = len(hashes)
-    if not total:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+    factors = [U64((0xD6E8FEB86659FD93 * (2 * k + 3) ** 7 | 1) & (1 << 64) - 1) for k in range(n)]
     row = np.repeat(np.arange(len(counts)), counts)
-    left = offsets[1:][row] - np.arange(total)  # words from here to the row's end
-    grown = hashes.copy()
-    out = np.where(left >= 1, grown, U64(0))
-    for k in range(1, n):
-        inside = left > k
-        shifted = np.zeros(total, U64)
-        shifted[: total - k] = hashes[k:]
-        out = np.where(inside, mix(out * U64(0x9E3779B97F4A7C15) + shifted), out)
-    whole = np.minimum(counts, n)[row]
-    take = (left >= n) | ((whole < n) & (np.arange(total) == offsets[:-1][row]))
-    return mix(out[take] + whole[take].astype(U64)), row[take]
+    m = max(0, len(hashes) - n + 1)
+    summed = np.zeros(m, U64)
+    for k in range(n):
+        summed += hashes[k : k + m] * factors[k]
+    inside = offsets[1:][row[:m]] - np.arange(m) >= n
+    found, rows = mix(summed[inside] + U64(n)), row[:m][inside]
+    short = np.flatnonzero((counts > 0) & (counts < n))
+    if not len(short):
+        return found, rows
+    whole = counts[short].astype(U64)
+    for k in range(n - 1):
+        some = counts[short] > k
+        whole[some] += hashes[offsets[short[some]] + k] * factors[k]
+    order = np.argsort(np.concatenate([rows, short]), kind="stable")
+    return np.concatenate([found, mix(whole)])[order], np.concatenate([rows, short])[order]

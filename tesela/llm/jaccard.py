@@ -1,4 +1,4 @@
-"""Exact n-gram Jaccard join: prefix lists in blocks by size and position, answers carried over between similar sets."""
+"""Exact n-gram Jaccard join: lists in blocks by size and position, rare shingles first, answers carried over between similar sets."""
 
 from __future__ import annotations
 
@@ -8,32 +8,41 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm.common import U64, blocks, checkpoint, mix, ngrams, table, utf8, words
+from tesela.llm.common import ODD, U64, blocks, checkpoint, mix, ngrams, table, utf8, words
 
 
 @dataclass(frozen=True)
 class JaccardConfig:
-    """n: words of a shingle. percent: least similarity. frequent: tokens counted more often come last in the order of
-    tokens. max_frequent: how many of them are sent to all tasks (8 MB), the most frequent first. Both touch the order alone,
-    and every order gives the same links. block: entries of a list whose sizes and positions are looked
-    at as one block. part: sets of a component whose links one task counts."""
+    """n: words of a shingle. percent: least similarity. block: entries of a list whose sizes and positions are looked at as
+    one block. text_block: bytes of texts that are counted together. cell: bytes of texts whose shingles are counted in one
+    group. part: sets of a component whose links one task counts. star: partners of a set that one task compares."""
 
     n: int = 5
     percent: int = 75
-    frequent: int = 8
-    max_frequent: int = 1 << 20
     block: int = 64
+    text_block: int = 1 << 20
+    cell: int = 32 << 20
     part: int = 2048
+    star: int = 512
+
+
+#: Bits of a shingle's hash by which documents with it are counted; a chance match makes a shingle look more frequent, no more.
+KEY_BITS = 48
+#: Rows of one block of texts at most, so that a key and a row fit into 64 bits.
+BLOCK_ROWS = 1 << 64 - KEY_BITS
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all rows, and the offsets of the rows in them."""
     h, row = ngrams(*words(data, offsets), n)
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
+    at = np.searchsorted(row, np.arange(len(offsets)))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        h[a:b].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     h, row = h[new], row[new]
@@ -50,31 +59,165 @@ def prefix_size(size, percent: int):
     return size - -(-percent * size // 100) + 1
 
 
-def each_block(batches: Iterator[pa.RecordBatch], n: int):
-    """Ids, sets and their offsets for stretches of the batches; column 0 holds ids, column 1 texts."""
+def packed(texts: list[bytes]) -> list[bytes]:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return [pack(x) for x in texts]
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the texts in a column of packed ones, and the offsets of the rows."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts = [unpack(x.as_buffer()) for x in column]
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
+def set_sizes(docs: DataFrame, n: int) -> DataFrame:
+    """n_shingles of rows with a text alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = utf8(batch.column(0))
+            for a, b in blocks(offs):
+                _, at = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(at))], ["n_shingles"])
+
+    return docs.mapInArrow(run, "n_shingles long")
+
+
+def different_texts(rows: DataFrame, config: JaccardConfig) -> DataFrame:
+    """block, doc_id (the least one with the text), sha, size (bytes), z (the packed text): once for each different text.
+
+    Copies are grouped by digest and bytes, with a partial result in every task. Blocks are stretches of a partition."""
+    unique = rows.groupBy("sha", "text").agg(F.min("doc_id").alias("doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, n = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            data, offs = utf8(batch.column(1))
+            own = []
+            for size in np.diff(offs).tolist():
+                if n and (held + size > config.text_block or n >= BLOCK_ROWS):
+                    block, held, n = block + 1, 0, 0
+                held, n = held + size, n + 1
+                own.append(block)
+            raw, at = data.tobytes(), offs.tolist()
+            z = packed([raw[a:b] for a, b in zip(at, at[1:])])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), batch.column(2), batch.column(0), pa.array(np.diff(offs)), pa.array(z, pa.binary())], ["block", "doc_id", "sha", "size", "z"])
+
+    return unique.select("sha", "text", "doc_id").mapInArrow(run, "block long, doc_id long, sha binary, size long, z binary")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows of one key at a time, from rows that come with equal keys together."""
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        data, offs = utf8(batch.column(1))
-        for a, b in blocks(offs):
-            yield batch.column(0).slice(a, b - a), *shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], n)
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for x in columns:
+            new[1:] |= x[1:] != x[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            own = tuple(x[a] for x in columns)
+            if held and own != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def write_keys(keys: np.ndarray, base: int) -> bytes:
+    """Rising keys as steps of four bytes, or of eight where one is longer; base is under the first."""
+    steps = np.diff(keys, prepend=U64(base))
+    return steps.astype("<u4" if not len(steps) or int(steps.max()) < 1 << 32 else "<u8").tobytes()
+
+
+def read_keys(raw: bytes, n: int, base: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<u8"), dtype=U64) + U64(base)
+
+
+def found_in(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """For each key its place in the sorted array `some`, or -1. Most are ruled out by 16 bits for each of `some` at once."""
+    out = np.full(len(keys), -1, np.int64)
+    if not len(some):
+        return out
+    slots = U64(1 << max(10, int(len(some)).bit_length() + 4))
+    flags = np.zeros(int(slots), bool)
+    flags[(some * ODD >> U64(20)) % slots] = True
+    maybe = np.flatnonzero(flags[(keys * ODD >> U64(20)) % slots])
+    at = np.minimum(np.searchsorted(some, keys[maybe]), len(some) - 1)
+    hit = some[at] == keys[maybe]
+    out[maybe[hit]] = at[hit]
+    return out
 
 
-def frequent_tokens(reps: DataFrame, config: JaccardConfig) -> np.ndarray:
-    """The most frequent tokens, as far as a stretch of texts shows them twice; sorted."""
+def key_cells(texts: DataFrame, bits: int, config: JaccardConfig) -> DataFrame:
+    """cell, block, keys, counts: the keys of each block of texts and, up to 255, how many of its texts hold each; a cell is all
+    keys with the same first bits."""
+    shift = KEY_BITS - bits
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, _ in each_block(batches, config.n):
-            token, times = np.unique(h, return_counts=True)
-            more = times > 1
-            yield pa.RecordBatch.from_arrays([pa.array(token[more].view(np.int64)), pa.array(times[more])], ["token", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, "block"):
+            block = rows["block"][0].as_py()
+            h, row = ngrams(*words(*unpacked(rows["z"])), config.n)
+            both = (h >> U64(64 - KEY_BITS) << U64(64 - KEY_BITS)) | row.astype(U64)
+            both.sort()
+            both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+            keys = both >> U64(64 - KEY_BITS)
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            keys, counts = keys[first], np.minimum(np.diff(np.append(first, len(keys))), 255).astype(np.uint8)
+            cell = (keys >> U64(shift)).astype(np.int64)
+            edges = np.flatnonzero(np.diff(cell, prepend=-1, append=-2)).tolist()
+            out = [[], [], []]
+            for a, b in zip(edges, edges[1:]):
+                out[0].append(int(cell[a]))
+                out[1].append(write_keys(keys[a:b], int(cell[a]) << shift))
+                out[2].append(counts[a:b].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array([block] * len(out[0]), pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["cell", "block", "keys", "counts"])
+
+    return texts.select("block", "z").mapInArrow(run, "cell long, block long, keys binary, counts binary")
+
+
+def shared_keys(cells: DataFrame, bits: int) -> DataFrame:
+    """block, cell, keys, ranks: the keys of each block that several texts of the corpus hold, and a rank that grows with how
+    many do: four steps for each doubling."""
+    shift = KEY_BITS - bits
 
-    counted = reps.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") > config.frequent).orderBy(F.desc("n"), "token").limit(config.max_frequent)
-    return np.sort(top.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped(batches, "cell"):
+            base = rows["cell"][0].as_py() << shift
+            counts = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows["counts"]]
+            keys = [read_keys(x.as_buffer(), len(n), base) for x, n in zip(rows["keys"], counts, strict=True)]
+            every = np.concatenate(keys)
+            again = [k[n > 1] for k, n in zip(keys, counts, strict=True)]
+            times = np.concatenate([n[n > 1] for n in counts]).astype(np.int64) - 1
+            every.sort()
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            df = np.diff(np.append(first, len(every)))
+            some = every[first]
+            np.add.at(df, np.searchsorted(some, np.concatenate(again)), times)
+            some, df = some[df > 1], df[df > 1]
+            rank = np.minimum(np.floor(4 * np.log2(df)), 255).astype(np.uint8)
+            out = [[], [], []]
+            for block, k in zip(rows["block"].to_pylist(), keys, strict=True):
+                at = found_in(k, some)
+                at = at[at >= 0]
+                if len(at):
+                    out[0].append(block)
+                    out[1].append(write_keys(some[at], base))
+                    out[2].append(rank[at].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array([rows["cell"][0].as_py()] * len(out[0]), pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["block", "cell", "keys", "ranks"])
+
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "block long, cell long, keys binary, ranks binary")
 
 
 def sketch_bytes(size: np.ndarray) -> np.ndarray:
-    """Bytes of a set's sketch: a power of two of bits, four to eight for each token, 64 bits at least."""
-    return 1 << np.maximum(3, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64) - 1)
+    """Bytes of a set's sketch: a power of two of bits, two to four for each token, 64 bits at least."""
+    return 1 << np.maximum(3, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64) - 2)
 
 
 def sketches(h: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -83,11 +226,11 @@ def sketches(h: np.ndarray, at: np.ndarray) -> list[bytes]:
     size = np.diff(at)
     width = sketch_bytes(size)
     row = np.repeat(np.arange(len(size)), size)
-    bit = (mix(h + U64(0x9E3779B97F4A7C15)) % (width[row] * 8).astype(U64)).astype(np.int64)
+    bit = (mix(h + ODD) % (width[row] * 8).astype(U64)).astype(np.int64)
     ends = np.cumsum(width)
     flat = np.bincount((ends - width)[row] * 8 + bit, minlength=int(ends[-1]) * 8 if len(ends) else 0)
-    packed = np.packbits((flat & 1).astype(np.uint8), bitorder="little").tobytes()
-    return [packed[e - w : e] for e, w in zip(ends.tolist(), width.tolist(), strict=True)]
+    bits = np.packbits((flat & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [bits[e - w : e] for e, w in zip(ends.tolist(), width.tolist(), strict=True)]
 
 
 def least_difference(x: bytes, y: bytes) -> int:
@@ -100,183 +243,210 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, two digests of the set and its sketch."""
+FOUND = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("sketch", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, h, at in each_block(batches, n):
-            size = np.diff(at)
-            place = np.concatenate([np.zeros(1, U64), np.cumsum(h, dtype=U64)])
-            again = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h ^ U64(0x94D049BB133111EB)), dtype=U64)])
-            d1, d2 = (mix(x[at[1:]] - x[at[:-1]] + size.astype(U64)).view(np.int64) for x in (place, again))
-            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (size, d1, d2)), pa.array(sketches(h, at), pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.dtypes[0][1]}, n_shingles long, d1 long, d2 long, sketch binary")
-
-
-def list_entries(reps: DataFrame, frequent, config: JaccardConfig) -> DataFrame:
-    """token, doc_id, size, pos: the prefix of every set, in the order of (frequent, hash)."""
+def list_entries(texts: DataFrame, keys: DataFrame, bits: int, config: JaccardConfig) -> DataFrame:
+    """token, doc_id, size, pos, sketch. Rows with a token are entries of its list: it is among the first tokens of the set, in
+    the order of (rank, hash), and several texts hold its key. Rows without one tell each set's size and, if it has entries,
+    its sketch. Tokens that one text alone holds come first of all and need no list."""
+    shift = KEY_BITS - bits
+    own = texts.select("block", F.lit(1).alias("kind"), "doc_id", "z", F.lit(None).cast("binary").alias("ranks"))
+    theirs = keys.select("block", F.lit(0).alias("kind"), F.col("cell").alias("doc_id"), F.col("keys").alias("z"), "ranks")
+    rows = own.unionByName(theirs).repartition("block").sortWithinPartitions("block", "kind", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = frequent.value
-        for ids, h, at in each_block(batches, config.n):
-            size = np.diff(at)
+        for part in grouped(batches, "block"):
+            n = int((part["kind"].to_numpy() == 0).sum())
+            known, part = part.slice(0, n), part.slice(n)
+            ranks = [np.frombuffer(x.as_buffer(), np.uint8) for x in known["ranks"]]
+            some = [read_keys(x.as_buffer(), len(r), c << shift) for x, r, c in zip(known["z"], ranks, known["doc_id"].to_pylist(), strict=True)]
+            some, ranks = np.concatenate([np.zeros(0, U64), *some]), np.concatenate([np.zeros(0, np.uint8), *ranks])
+            h, at = shingle_sets(*unpacked(part["z"]), config.n)
+            size, doc = np.diff(at), part["doc_id"].to_numpy()
             row = np.repeat(np.arange(len(size)), size)
-            if len(last):
-                hit = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
-                order = np.lexsort((h, hit, row))
-                h = h[order]
-            pos = np.arange(len(h)) - at[:-1][row]
+            place = found_in(h >> U64(64 - KEY_BITS), some)
+            shared = np.flatnonzero(place >= 0)
+            token, row = h[shared], row[shared]
+            order = np.lexsort((token, ranks[place[shared]], row))
+            token, row = token[order], row[order]
+            begin = np.searchsorted(row, np.arange(len(size) + 1))
+            pos = np.arange(len(row)) - begin[:-1][row] + (size - np.diff(begin))[row]
             keep = pos < prefix_size(size, config.percent)[row]
-            part = row[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), ids.take(pa.array(part)), pa.array(size[part].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], ["token", "doc_id", "size", "pos"])
-
-    return reps.mapInArrow(run, "token long, doc_id long, size int, pos int")
+            token, row, pos = token[keep], row[keep], pos[keep]
+            listed = np.unique(row)
+            inside = np.zeros(len(size), bool)
+            inside[listed] = True
+            some_h = h[np.repeat(inside, size)]
+            found = sketches(some_h, np.concatenate([[0], np.cumsum(size[listed])]))
+            by_row = dict(zip(listed.tolist(), found, strict=True))
+            m = len(size)
+            none = np.zeros(len(row), bool)
+            columns = [
+                pa.concat_arrays([pa.array(token.view(np.int64)), pa.nulls(m, pa.int64())]),
+                pa.array(np.concatenate([doc[row], doc])),
+                pa.array(np.concatenate([size[row], size]).astype(np.int32)),
+                pa.array(np.concatenate([pos, np.zeros(m, np.int64)]).astype(np.int32)),
+                pa.array([None] * len(none) + [by_row.get(i) for i in range(m)], pa.binary()),
+            ]
+            out = pa.RecordBatch.from_arrays(columns, schema=FOUND)
+            for a in range(0, out.num_rows, 20_000):
+                yield out.slice(a, 20_000)
+
+    return rows.mapInArrow(run, "token long, doc_id long, size int, pos int, sketch binary")
+
+
+def whole_lists(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that come sorted by the first one, some whole lists of equal values at a time."""
+    rest = [np.zeros(0, np.int64) for _ in names]
+    for batch in batches:
+        columns = [np.concatenate([r, batch.column(c).to_numpy().astype(np.int64)]) for r, c in zip(rest, names, strict=True)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
+        rest = [x[cut:] for x in columns]
+        if cut:
+            yield [x[:cut] for x in columns]
+    if len(rest[0]):
+        yield rest
 
 
-def block_pairs(size: np.ndarray, pos: np.ndarray, percent: int, block: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Candidate pairs of one token's list, sorted by (size, pos): an entry and its partners further on.
+def block_pairs(size: np.ndarray, pos: np.ndarray, comp: np.ndarray, config: JaccardConfig) -> Iterator[tuple[int, np.ndarray]]:
+    """Candidate pairs of one token's list, sorted by (size, pos): an entry and its partners further on in other components.
 
     At the first token that two sets share, at places i and j in sets of sizes a <= b, at most 1 + min(a - i - 1, b - j - 1)
     tokens are shared. So a partner's size is bounded by the entry's, and its position by both; blocks whose least size or
     position is beyond the bound are skipped as a whole."""
-    n = len(size)
-    for k in range(n - 1):
-        a, i = int(size[k]), int(pos[k])
-        if a - i < least_overlap(a, a, percent):
-            continue
-        end = int(np.searchsorted(size, 100 * a // percent, "right"))
-        if end - k <= block:
-            starts = [k + 1] if k + 1 < end else []
-        else:
-            starts = range(k + 1, end, block)
-        for s in starts:
-            e = min(s + block, end)
-            b, j = size[s:e], pos[s:e]
-            need = least_overlap(a, b, percent)
-            if a - i < need[0] or int((b - j).max()) < need[0]:
-                continue
-            ok = (a - i >= need) & (b - j >= need)
+    percent, block = config.percent, config.block
+    own = size - pos
+    last = np.searchsorted(size, 100 * size // percent, "right")
+    for k in np.flatnonzero((own >= least_overlap(size, size, percent)) & (last > np.arange(len(size)) + 1)).tolist():
+        for s in range(k + 1, int(last[k]), block):
+            e = min(s + block, int(last[k]))
+            need = least_overlap(int(size[k]), size[s:e], percent)
+            if own[k] < need[0]:
+                break
+            ok = (own[k] >= need) & (own[s:e] >= need) & (comp[s:e] != comp[k])
             if ok.any():
                 yield k, s + np.flatnonzero(ok)
 
 
-def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    """Entries that come sorted by token, a stretch of whole lists at a time, without lists of one entry."""
-    rest = None
-    for batch in batches:
-        part = batch.to_pandas()
-        if rest is not None:
-            part = pd.concat([rest, part], ignore_index=True)
-        token = part["token"].to_numpy()
-        cut = int(np.searchsorted(token, token[-1])) if len(token) else 0
-        part, rest = part.iloc[:cut], part.iloc[cut:]
-        yield shared(part)
-    if rest is not None:
-        yield shared(rest)
+#: Documents of a list that its other entries are compared with in the first round.
+HUBS = 16
 
 
-def shared(part: pd.DataFrame) -> pd.DataFrame:
-    token = part["token"].to_numpy()
-    same = token[1:] == token[:-1]
-    return part[np.append(same, False) | np.append([False], same)] if len(part) > 1 else part.iloc[:0]
+def star_pairs(entries: DataFrame, config: JaccardConfig) -> DataFrame:
+    """a, b, part: every entry of a list with the list's first document, or with the first of some whose size and place allow a
+    link. part numbers stretches of a document's partners.
 
-
-def star_pairs(multi: DataFrame, config: JaccardConfig) -> DataFrame:
-    """a, b: every entry of a list with the list's first document, or with the first one whose size allows a link.
-
-    One pass over lists sorted by document, in which at most 16 such documents are held for each list."""
+    One pass over lists sorted by document; of a list, HUBS documents are held, however long it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_lists(batches):
-            a, b = [], []
-            token, doc, size, pos = (part[c].to_numpy() for c in ("token", "doc_id", "size", "pos"))
-            starts = np.flatnonzero(np.diff(token, prepend=token[0] - 1 if len(token) else 0))
-            hub = np.repeat(starts, np.diff(np.append(starts, len(token))))
-            left = np.ones(len(token), bool)
-            for _ in range(16):
-                small = np.minimum(size, size[hub]) if len(hub) else size
-                large = np.maximum(size, size[hub]) if len(hub) else size
-                fits = left & (doc != doc[hub]) & (np.minimum(size - pos, size[hub] - pos[hub]) >= least_overlap(small.astype(np.int64), large.astype(np.int64), config.percent))
-                a.append(doc[hub][fits])
-                b.append(doc[fits])
-                left &= ~fits & (np.arange(len(token)) != hub)
-                open_ = np.flatnonzero(left)
-                if not len(open_):
-                    break
-                first = open_[np.flatnonzero(np.diff(token[open_], prepend=token[open_[0]] - 1))]
-                nearest = np.searchsorted(token[first], token)
-                hub = np.where(left, first[np.minimum(nearest, len(first) - 1)], hub)
-            pairs = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates() if a else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-            yield pa.RecordBatch.from_pandas(pairs.astype(np.int64), preserve_index=False)
-
-    return multi.mapInArrow(run, "a long, b long").distinct()
+        last, hubs, seen = None, [], 0
+        for batch in batches:
+            token, doc, size, pos = (batch.column(c).to_numpy().astype(np.int64) for c in ("token", "doc_id", "size", "pos"))
+            edges = np.append(np.flatnonzero(np.diff(token, prepend=token[0] - 1 if len(token) else 0)), len(token))
+            place = np.arange(len(token)) - np.repeat(edges[:-1], np.diff(edges))
+            carried = int(edges[1]) if len(token) and token[0] == last else 0
+            place[:carried] += seen
+            pairs = []
+
+            def compare(at: np.ndarray, hub) -> np.ndarray:
+                """Which of the entries fit a hub each (arrays of doc, size, pos); the pairs are noted."""
+                h_doc, h_size, h_pos = hub
+                need = least_overlap(size[at], h_size, config.percent)
+                fits = (doc[at] != h_doc) & (np.minimum(size[at] - pos[at], h_size - h_pos) >= need) & (100 * np.minimum(size[at], h_size) >= config.percent * np.maximum(size[at], h_size))
+                some = at[fits]
+                pairs.append((np.broadcast_to(h_doc, at.shape)[fits], doc[some], place[some] // config.star))
+                return at[~fits & (doc[at] != h_doc)]
+
+            left = np.arange(carried)
+            for hub in hubs if carried else ():
+                left = compare(left, hub)
+            used = np.zeros(len(token), np.int64)
+            used[:carried] = len(hubs) if carried else 0
+            if not carried:
+                hubs, seen = [], 0
+            left = np.concatenate([left, np.arange(carried, len(token))])
+            while len(left := left[used[left] < HUBS]):
+                opens = np.flatnonzero(np.diff(token[left], prepend=token[left[0]] - 1))
+                own = np.repeat(left[opens], np.diff(np.append(opens, len(left))))
+                if token[left[opens[-1]]] == token[-1]:
+                    k = left[opens[-1]]
+                    if token[k] != last:
+                        hubs, last = [], token[k]
+                    hubs.append((doc[k], size[k], pos[k]))
+                used[left] += 1
+                left = compare(left, (doc[own], size[own], pos[own]))
+            if len(token):
+                if token[-1] != last:
+                    hubs = []
+                last = token[-1]
+                seen = int(place[-1]) + 1
+            a, b, part = (np.concatenate(x) if pairs else np.zeros(0, np.int64) for x in (zip(*pairs, strict=True) if pairs else ((),) * 3))
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({"a": a, "b": b, "part": part}).groupby(["a", "b"], as_index=False)["part"].min(), preserve_index=False)
+
+    lists = entries.repartition("token").sortWithinPartitions("token", "doc_id")
+    return lists.mapInArrow(run, "a long, b long, part long").groupBy("a", "b").agg(F.min("part").alias("part"))
 
 
 def open_pairs(labelled: DataFrame, config: JaccardConfig) -> DataFrame:
-    """a, b: all pairs of a list that the bounds allow and whose sets aren't in one component yet."""
+    """a, b, part: all pairs of a list that the bounds allow and whose sets aren't in one component yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_lists(batches):
-            token, doc, size, pos, comp = (part[c].to_numpy() for c in ("token", "doc_id", "size", "pos", "comp"))
-            edges = np.append(np.flatnonzero(np.diff(token, prepend=token[0] - 1 if len(token) else 0)), len(token))
-            a, b = [], []
-            for lo, hi in zip(edges, edges[1:]):
-                if (comp[lo:hi] == comp[lo]).all():
-                    continue
-                for k, far in block_pairs(size[lo:hi].astype(np.int64), pos[lo:hi].astype(np.int64), config.percent, config.block):
-                    far = far[comp[lo + far] != comp[lo + k]]
+        for token, doc, size, pos, comp in whole_lists(batches, "token", "doc_id", "size", "pos", "comp"):
+            edges = np.append(np.flatnonzero(np.diff(token, prepend=token[0] - 1)), len(token))
+            a, b, part = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lo, hi in zip(edges.tolist(), edges[1:].tolist()):
+                for k, far in block_pairs(size[lo:hi], pos[lo:hi], comp[lo:hi], config):
+                    far = far[doc[lo + far] != doc[lo + k]]
                     a.append(np.full(len(far), doc[lo + k]))
                     b.append(doc[lo + far])
-            a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
-            pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+                    part.append(np.arange(len(far)) // config.star)
+            a, b, part = map(np.concatenate, (a, b, part))
+            pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "part": part}).groupby(["a", "b"], as_index=False)["part"].min()
             yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
 
-    return labelled.mapInArrow(run, "a long, b long").distinct()
+    return labelled.mapInArrow(run, "a long, b long, part long").groupBy("a", "b").agg(F.min("part").alias("part"))
 
 
-def whole_sets(reps: DataFrame, n: int) -> DataFrame:
-    """doc_id, h: the sorted set as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, h, at in each_block(batches, n):
-            raw = h.tobytes()
-            yield pa.RecordBatch.from_arrays([ids, pa.array([raw[8 * x : 8 * y] for x, y in zip(at, at[1:])], pa.binary())], ["doc_id", "h"])
-
-    return reps.mapInArrow(run, "doc_id long, h binary")
-
-
-def links(pairs: DataFrame, reps: DataFrame, sets_: DataFrame, config: JaccardConfig) -> DataFrame:
+def links(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, config: JaccardConfig) -> DataFrame:
     """The pairs that link. Where the sketches differ in more places than linked sets can, they don't; else both whole sets are
-    compared. sets_: doc_id, n_shingles, sketch."""
+    compared. A set is sent once for each of its parts, its partners once for each pair, as packed texts."""
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            a, b = batch.column("na").to_numpy().astype(np.int64), batch.column("nb").to_numpy().astype(np.int64)
             most = a + b - 2 * least_overlap(a, b, config.percent)
-            differ = [least_difference(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            differ = [least_difference(x, y) for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)]
             ok = pa.array(np.array(differ, np.int64) <= most)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+            yield batch.select(["a", "b", "part"]).filter(ok)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros(0, U64)
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared_ = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * shared_ >= config.percent * (len(both) - shared_))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
-
-    left = sets_.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    right = sets_.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-    pairs = checkpoint(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(likely, "a long, b long"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    hashed = checkpoint(whole_sets(reps.join(wanted, "doc_id", "left_semi"), config.n))
-    left, right = hashed.select(F.col("doc_id").alias("a"), F.col("h").alias("ha")), hashed.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long")
+            first, second = [], []
+            end = np.cumsum([0, *(len(x.as_buffer()) for x in batch.column("z"))])
+            for lo, hi in blocks(end, 1 << 19):
+                part = batch.slice(lo, hi - lo)
+                h, at = shingle_sets(*unpacked(part.column("z")), config.n)
+                for i, (a, b) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)):
+                    own = h[at[i] : at[i + 1]]
+                    if b is None:
+                        centre = own.copy()
+                    else:
+                        both = int((centre[np.minimum(np.searchsorted(centre, own), len(centre) - 1)] == own).sum()) if len(centre) else 0
+                        if 100 * both >= config.percent * (len(own) + len(centre) - both):
+                            first.append(a)
+                            second.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
+
+    left = sizes.select(F.col("doc_id").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
+    right = sizes.select(F.col("doc_id").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
+    pairs = checkpoint(pairs.join(left, "a").join(right, "b").select("a", "b", "part", "na", "sa", "nb", "sb").mapInArrow(likely, "a long, b long, part long"))
+    z = texts.select("doc_id", "z")
+    partners = pairs.join(z.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "z")
+    centres = pairs.select("a", "part").distinct().join(z.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "z")
+    rows = centres.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return rows.select("a", "b", "z").mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -328,92 +498,72 @@ def linked_copies(sets: list[np.ndarray], copies: np.ndarray, own: np.ndarray, p
     return out
 
 
-def link_counts(labels: DataFrame, classes: DataFrame, reps: DataFrame, config: JaccardConfig) -> DataFrame:
-    """rep, linked: the documents whose sets link with each set that has an edge, its own copies among them.
+def link_counts(labels: DataFrame, copies: DataFrame, texts: DataFrame, config: JaccardConfig) -> DataFrame:
+    """doc_id, linked: the documents whose sets link with each set that has an edge, its own copies among them.
 
     All links are inside components (labels: doc_id, comp). A task counts for `part` sets of one component, and holds the whole
     component; larger components go to several tasks. No pairs are written."""
     parts = labels.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / config.part).cast("int").alias("parts"))
-    rows = labels.join(parts, "comp").join(classes.select(F.col("rep").alias("doc_id"), "copies"), "doc_id")
-    rows = rows.join(whole_sets(reps, config.n), "doc_id")
-    rows = rows.select("comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("home"), "doc_id", "copies", "h")
+    rows = labels.join(parts, "comp").join(copies, "doc_id").join(texts.select("doc_id", "z"), "doc_id")
+    rows = rows.select("comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("home"), "doc_id", "copies", "z")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in whole_groups(batches):
-            doc, at = np.unique(group["doc_id"].to_numpy(), return_index=True)  # repeated rows are one document
-            own = np.flatnonzero((group["home"] == group["part"]).to_numpy()[at])
-            sets = [np.frombuffer(x, U64) for x in group["h"].to_numpy()[at]]
-            linked = linked_copies(sets, group["copies"].to_numpy()[at], own, config.percent)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[own]), pa.array(linked)], ["rep", "linked"])
+        for group in grouped(batches, "comp", "part"):
+            own = np.flatnonzero(group["home"].to_numpy() == group["part"].to_numpy())
+            h, at = shingle_sets(*unpacked(group["z"]), config.n)
+            linked = linked_copies([h[a:b] for a, b in zip(at, at[1:])], group["copies"].to_numpy(), own, config.percent)
+            yield pa.RecordBatch.from_arrays([group["doc_id"].combine_chunks().take(pa.array(own)), pa.array(linked)], ["doc_id", "linked"])
 
-    return rows.repartition("comp", "part").sortWithinPartitions("comp", "part").mapInArrow(count, "rep long, linked long")
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-    """The rows of one (comp, part) at a time, from rows that come sorted by them."""
-    rest: list[pd.DataFrame] = []
-    for batch in batches:
-        part = batch.to_pandas()
-        if not len(part):
-            continue
-        comp, number = part["comp"].to_numpy(), part["part"].to_numpy()
-        edges = [0, *(np.flatnonzero((comp[1:] != comp[:-1]) | (number[1:] != number[:-1])) + 1), len(part)]
-        for a, b in zip(edges, edges[1:]):
-            if rest and (rest[0]["comp"].iloc[0], rest[0]["part"].iloc[0]) != (comp[a], number[a]):
-                yield pd.concat(rest, ignore_index=True)
-                rest = []
-            rest.append(part.iloc[a:b])
-    if rest:
-        yield pd.concat(rest, ignore_index=True)
+    return rows.repartition("comp", "part").sortWithinPartitions("comp", "part").mapInArrow(count, "doc_id long, linked long")
 
 
 def jaccard_components(docs: DataFrame, config: JaccardConfig = JaccardConfig(), id_col: str = "doc_id", text_col: str = "text", with_links: bool = True) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links) and, if with_links, n_links.
 
-    Sets link when 100 * intersection >= percent * union. Equal sets are one set, whose answers hold for all its copies.
-    Every set enters the lists of its first tokens. A first round compares each entry of a list with the list's first
-    document; sets that link share a component, so that the answers of the first document settle those of the sets like it,
-    and a second round compares only sets of different components, in blocks by size and position. Rounds compare whole sets,
-    and every pair that the bounds allow is in one component or compared, so no link between components is lost.
+    Sets link when 100 * intersection >= percent * union. Equal texts are one text, whose answers hold for all its copies.
+    Documents are counted by shingle over the whole corpus, as packed keys by block of texts, and every set enters the lists
+    of its rarest shingles. A first round compares each entry of a list with the list's first document; sets that link share a
+    component, so that the answers of the first document settle those of the sets like it, and a second round compares only
+    sets of different components, in blocks by size and position. Rounds compare whole sets, and every pair that the bounds
+    allow is in one component or compared, so no link between components is lost. Shingles are compared by 64-bit hashes of
+    their words, whose bytes are mixed without algebraic structure.
 
     n_links counts the other documents whose sets link with the row's set, copies of it among them. It is counted inside the
-    components at the end, from the differences of their sets. A text without words or null has an empty set and links with nothing: its component is itself. Repeated rows of an
-    id are the same document. Rows with a null id have a null component. Other columns aren't read. An empty table gives
-    no rows. Ids are whole numbers.
+    components at the end, from the differences of their sets.
+
+    A text without words or null has an empty set and links with nothing: its component is itself. Repeated rows of an id are
+    the same document. Rows with a null id have a null component. Other columns aren't read. An empty table gives no rows. Ids
+    are whole numbers.
     """
-    context = docs.sparkSession.sparkContext
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    sets = checkpoint(set_rows(rows, config.n))
-    known = sets.where("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
-    classes = checkpoint(classes)
-    frequent = context.broadcast(frequent_tokens(rows, config))  # at most max_frequent tokens
-    reps = rows.where("doc_id is not null").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    of_reps = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch")
-    entries = list_entries(reps, frequent, config).repartition("token").sortWithinPartitions("token", "doc_id")
-
-    def multiple(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_lists(batches):
-            yield pa.RecordBatch.from_pandas(part, preserve_index=False)
-
-    multi = checkpoint(entries.mapInArrow(multiple, entries.schema))
-    first = checkpoint(links(star_pairs(multi, config), reps, of_reps, config))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    nameless = set_sizes(rows.where("doc_id is null").select("text"), config.n).select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    known = rows.where("doc_id is not null").select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), "text")
+    texts = checkpoint(different_texts(known, config))
+    size = texts.agg(F.sum("size")).first()[0] or 0
+    bits = min(24, max(0, (size // config.cell).bit_length()))
+    keys = checkpoint(shared_keys(key_cells(texts, bits, config), bits))
+    found = checkpoint(list_entries(texts, keys, bits, config))
+    entries, sizes = found.where("token is not null").drop("sketch"), found.where("token is null").select("doc_id", "size", "sketch")
+    first = checkpoint(links(star_pairs(entries, config), texts, sizes, config))
     label = components(first)
-    labelled = multi.join(label, "doc_id", "left").select("token", "doc_id", "size", "pos", F.coalesce("comp", "doc_id").alias("comp"))
+    labelled = entries.join(label, "doc_id", "left").select("token", "doc_id", "size", "pos", F.coalesce("comp", "doc_id").alias("comp"))
     ends = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     lists = labelled.join(ends, "token", "left_semi").repartition("token").sortWithinPartitions("token", "size", "pos", "doc_id")
-    second = checkpoint(links(open_pairs(lists, config), reps, of_reps, config))
-    edges = first.unionByName(second)
-    final = components(edges)
-    of_class = classes.join(final, classes["rep"] == final["doc_id"], "left").drop("doc_id")
+    second = checkpoint(links(open_pairs(lists, config), texts, sizes, config))
+    final = components(first.unionByName(second))
+    of_text = texts.select("doc_id", "sha").join(sizes.drop("sketch"), "doc_id").join(final, "doc_id", "left")
+    names = []
     if with_links:
-        of_class = of_class.join(link_counts(final, classes, reps, config), "rep", "left")
-        of_class = of_class.withColumn("n_links", F.coalesce("linked", "copies") - 1)
-    names = ["n_links"] if with_links else []
-    of_class = of_class.select("d1", "d2", "n_shingles", F.coalesce("comp", "rep").alias("component_id"), *names)
-    out = sets.drop("sketch").join(of_class, ["d1", "d2", "n_shingles"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), *(F.coalesce(x, F.lit(0)).alias(x) for x in names))
+        names = ["n_links"]
+        copies = known.select("doc_id", "sha").distinct().groupBy("sha").agg(F.count(F.lit(1)).alias("copies"))
+        of_text = checkpoint(of_text.join(copies, "sha"))
+        counted = link_counts(final, of_text.select("doc_id", "copies"), texts, config)
+        of_text = of_text.join(counted, "doc_id", "left")
+        of_text = of_text.withColumn("n_links", F.when(F.col("size") > 0, F.coalesce("linked", "copies") - 1).otherwise(0))
+    own = F.when(F.col("size") > 0, F.coalesce("comp", "doc_id"))
+    of_text = checkpoint(of_text.select("sha", F.col("size").cast("long").alias("n_shingles"), own.alias("comp"), *names))
+    out = known.select("doc_id", "sha").join(of_text, "sha").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"), *names)
+    return out.unionByName(nameless.withColumns({x: F.lit(0).cast("long") for x in names}))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
