@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from hashlib import blake2b
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm.common import U64, blocks, mix, sequence_hashes, table, utf8, word_places
+from tesela.llm.common import _LOWER, U64, blocks, checkpoint, hash_words, table, utf8, word_edges
 
 #: What parts words when units are compared: white space and ASCII punctuation.
 _BREAKS = np.zeros(256, bool)
@@ -25,20 +26,28 @@ _STOP[[*b".!?"]] = True
 @dataclass(frozen=True)
 class UnitConfig:
     """min_words: a run of repeated units goes only if it has as many words; shorter ones stay, as single short sentences
-    recur by chance. ordering: of occurrences is by document id, then by offset."""
+    recur by chance. Occurrences are ordered by document id, then by offset. long: words of a sentence up to which it is one
+    unit. stretch: words of the units that a longer sentence is cut into, on average; it is cut behind words whose hashes say
+    so, wherever in the sentence they stand, so that a passage without full stops that is pasted into other words has the same
+    cuts inside as elsewhere. different: words that a sentence must have to be cut; of fewer ones every piece would recur."""
 
     min_words: int = 8
+    long: int = 24
+    stretch: int = 8
+    different: int = 16
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of UTF-8 rows: row, first byte, end byte, number of words and two digests of each unit with words.
+def units(data: np.ndarray, offsets: np.ndarray, config: UnitConfig = UnitConfig()) -> tuple:
+    """Of UTF-8 rows: row, first byte, end byte, number of words and 128-bit digest (bytes) of each unit with words.
 
-    A unit ends with a line, or with the white space behind a full stop or mark. Units cover the rows without gaps: what has
-    no words belongs to the unit before it. Digests are of the words alone, with ASCII letters in lower case."""
-    hashes, at = word_places(data, offsets, breaks=_BREAKS)
-    if not len(at):
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    A unit ends with a line, or with the white space behind a full stop or mark, or inside a long sentence behind a word that
+    cuts. Units cover the rows without gaps: what has no words belongs to the unit before it. Digests are BLAKE2b of the words
+    alone, with a space between them and ASCII letters in lower case."""
     n = len(data)
+    low = _LOWER[data]
+    at, to = word_edges(low, offsets, _BREAKS)
+    if not len(at):
+        return (*(np.zeros(0, np.int64) for _ in range(4)), [])
     white, place = _WHITE[data], np.arange(n)
     solid = np.maximum.accumulate(np.where(white, -1, place))
     line = np.maximum.accumulate(np.where(data == 10, place, -1))
@@ -48,6 +57,16 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     before = solid[j - 1]
     start[j] |= (before >= 0) & (line[j - 1] < before) & _STOP[data[before]]
     start[offsets] = True
+    sentence = np.searchsorted(np.flatnonzero(start[:n]), at, "right")
+    wide = np.flatnonzero(np.bincount(sentence)[sentence] > config.long)
+    words, of = hash_words(low, at[wide], to[wide]), sentence[wide]
+    order = np.lexsort((words, of))
+    fresh = np.append(True, (np.diff(of[order]) != 0) | (words[order][1:] != words[order][:-1])) if len(wide) else np.zeros(0, bool)
+    various = np.bincount(of[order][fresh], minlength=sentence[-1] + 1) >= config.different
+    cuts = wide[(words % U64(config.stretch) == 0) & various[of]]
+    cuts = cuts[cuts + 1 < len(at)]
+    cuts = cuts[sentence[cuts + 1] == sentence[cuts]]
+    start[at[cuts + 1]] = True
     begins = np.flatnonzero(start[:n])
     own = np.searchsorted(begins, at, "right") - 1  # the unit of each word
     first = np.flatnonzero(np.diff(own, prepend=-1))
@@ -59,19 +78,26 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     end = np.append(begin[1:], n)
     closes = np.append(opens[1:], True)
     end[closes] = offsets[row[closes] + 1]
-    again = mix(hashes ^ U64(0x5851F42D4C957F2D))
-    return row, begin, end, last - first, sequence_hashes(hashes, first, last).view(np.int64), sequence_hashes(again, first, last).view(np.int64)
+    held = ~_BREAKS[low]
+    low[~held] = 32
+    held[to[to < n]] = True
+    place = np.cumsum(held)
+    plain = low[held].tobytes()
+    digests = [blake2b(plain[a:b], digest_size=16).digest() for a, b in zip((place[at[first]] - 1).tolist(), place[to[last - 1] - 1].tolist(), strict=True)]
+    return row, begin, end, last - first, digests
 
 
-def unit_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, at (offset of the unit), size, n_words, d1, d2 (digest of 128 bits); a row for each unit with a word. again: an equal unit comes earlier in the same text."""
+def unit_rows(docs: DataFrame, config: UnitConfig, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, at (offset of the unit), size, n_words, d1, d2 (digest of 128 bits); a row for each unit with a word. again: an
+    equal unit comes earlier in the same text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = utf8(batch.column(1))
             for a, b in blocks(offs):
                 part = data[offs[a] : offs[b]]
-                row, begin, end, n_words, d1, d2 = units(part, offs[a : b + 1] - offs[a])
+                row, begin, end, n_words, digests = units(part, offs[a : b + 1] - offs[a], config)
+                d1, d2 = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2).T.copy()
                 points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
                 at = points[begin] - points[offs[a:b][row] - offs[a]]
                 again = np.ones(len(row), bool)
@@ -87,11 +113,14 @@ def unit_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, config: UnitConfig = UnitConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans (array of start, end; code points, rising, apart): what goes, for documents that lose something.
 
-    Digests group globally by a pre-aggregated minimum of doc_id; what recurs inside its document is marked there: a line that a third of all documents hold
-    reaches the shuffle as one row for each task. The join back splits hot digests at run time.
+    Digests group globally by a pre-aggregated minimum of doc_id; what recurs inside its document is marked there: a line that a
+    third of all documents hold reaches the shuffle as one row for each task. The digests of several documents are cut in the
+    shared folder, one row each, so that nothing but the join stands behind the shuffle back, whose hot digests Spark's adaptive
+    execution splits over tasks.
     """
-    rows = unit_rows(docs, id_col, text_col).where("doc_id is not null")
-    first = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    rows = unit_rows(docs, config, id_col, text_col).where("doc_id is not null")
+    first = rows.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    first = checkpoint(first)
     later = rows.join(first, ["d1", "d2"], "left").where((F.col("doc_id") > F.col("first")) | F.col("again"))
     gathered = later.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "size", "n_words"))).alias("units"))
 
@@ -121,8 +150,9 @@ def merged(found: list[dict], min_words: int) -> list[dict]:
 def substring_dedup(docs: DataFrame, config: UnitConfig = UnitConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, spans (array of start and end in the original text) and kept (the text without them).
 
-    Units are sentences and lines, equal by their words without ASCII punctuation, ASCII letters in lower case. Of equal units the one with the
-    smallest (doc_id, offset) stays; the others go where they make a run of `min_words` words. Null text counts as
+    Units are lines, sentences and stretches of long sentences, equal by their words without ASCII punctuation, ASCII letters in
+    lower case. Of equal units the one with the smallest (doc_id, offset) stays; the others go where they make a run of
+    `min_words` words. Null text counts as
     empty and is kept as empty. Repeated rows of one id are the same document and never remove each other. Rows with a
     null id stay whole. Other columns aren't read. An empty table gives no rows.
     """
