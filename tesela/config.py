@@ -10,8 +10,8 @@ from enum import Enum
 class AnalyzerConfig:
     """stopwords: words that are normalised like text and removed before stemming. stem: a language ("spanish") or None.
     regex: extract abbreviations, entities, numbers, URLs, e-mails and names line by line before tokens are split. min_size and
-    max_size: of a term, both included, after stemming. exact_accents: decompose all of Unicode in a vectorised UDF instead of
-    translating Latin letters."""
+    max_size: of a term, both included, after stemming. exact_accents: also resolve, in a vectorised UDF, characters that decompose
+    to several."""
 
     stopwords: tuple[str, ...] = ()
     stem: str | None = None

@@ -26,7 +26,7 @@ def calpha_encode(k: Column) -> Column:
 def vbyte_encode(k: Column) -> Column:
     """Groups of seven bits, high ones first; the first bit of a byte is 1 on the last."""
     groups = F.ceil(F.length(F.bin(k)) / 7).cast("int")
-    byte = lambda i: F.concat(F.when(i == 0, "1").otherwise("0"), F.lpad(F.bin(F.pmod(F.floor(k / F.pow(F.lit(128.0), i)).cast("long"), F.lit(128))), 7, "0"))
+    byte = lambda i: F.concat(F.when(i == 0, "1").otherwise("0"), F.lpad(F.bin(F.call_function("shiftright", k.cast("long"), (i * 7).cast("int")).bitwiseAND(F.lit(127))), 7, "0"))
     return F.array_join(F.transform(F.sequence(groups - 1, F.lit(0), F.lit(-1)), byte), "")
 
 

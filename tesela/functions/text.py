@@ -33,13 +33,16 @@ LISTED = ("names", "emails", "entities", "entities_spaced", "abbreviations", "da
 
 @lru_cache(maxsize=1)
 def accent_table() -> tuple[str, str]:
-    """Latin letters whose compatibility decomposition is one character and marks, and that character."""
-    pairs = []
-    for code in range(0xA0, 0x250):
+    """Characters of all of Unicode whose compatibility decomposition is one character and marks, and that character; then the
+    marks, which have no counterpart and go."""
+    pairs, marks = [], []
+    for code in (*range(0xA0, 0xD800), *range(0xF900, 0x30000)):
         plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(plain) == 1 and plain != chr(code) and not plain.isspace():
+        if unicodedata.combining(chr(code)):
+            marks.append(chr(code))
+        elif len(plain) == 1 and plain != chr(code) and not plain.isspace():
             pairs.append((chr(code), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    return "".join(a for a, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
 
 
 @F.pandas_udf(T.StringType())
@@ -49,6 +52,8 @@ def nfkd_strip(text: pd.Series) -> pd.Series:
 
 
 def strip_accents(text: Column, exact: bool = False) -> Column:
+    """Without accents. By default characters that decompose to one are translated, and marks deleted, in the JVM; exact also
+    resolves those that decompose to several (ligatures, fractions, Hangul) in a vectorised UDF."""
     return nfkd_strip(text) if exact else F.translate(text, *accent_table())
 
 

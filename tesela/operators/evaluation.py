@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesela.operators.index import running
+
 
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """run with rel (0 or 1) and total, the number of relevant documents of the query; queries without any are left out."""
@@ -59,12 +61,11 @@ def macro_stats(per_query: DataFrame) -> DataFrame:
 
 
 def micro(rp: DataFrame) -> DataFrame:
-    """All queries as one ranking: at each rank, what all queries have retrieved and found so far. Sums are over ranks, of
-    which there are few, not over rows."""
+    """All queries as one ranking: at each rank, what all queries have retrieved and found so far. Sums are over
+    ranges of ranks, each in its own task."""
     per_rank = rp.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.sum("rel").alias("r"))
-    down = W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
     total = rp.select("query_id", "total").distinct().agg(F.sum("total").alias("total"))
-    summed = per_rank.select("rank", F.sum("n").over(down).alias("retrieved"), F.sum("r").over(down).alias("hits"))
+    summed = running(running(per_rank, "rank", F.col("n"), "retrieved"), "rank", F.col("r"), "hits")
     return summed.join(F.broadcast(total)).select("rank", "retrieved", "hits", (F.col("hits") / F.col("retrieved")).alias("precision"), (F.col("hits") / F.col("total")).alias("recall"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -10,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesela.operators.index import ranked
+from tesela.operators.shared import cut
+
 HREF = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -46,12 +48,11 @@ def out_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count_distinct("dst").alias("n_links"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared checkpoint folder that the session names; a temporary one where none is set (local runs)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tesela-graph-"))
-    return df.checkpoint(eager=True)
+def with_ids(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id from 1 in the order of the names, node) and edges (src, dst) by these ids. edges: src, dst names."""
+    nodes = ranked(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "id", F.asc("node")).select("id", "node")
+    by = lambda end: nodes.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"))
+    return nodes, edges.join(by("src"), "src").join(by("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"))
 
 
 def crawl(edges: DataFrame, seeds: DataFrame, max_urls: int = 50) -> DataFrame:
@@ -70,10 +71,7 @@ def crawl(edges: DataFrame, seeds: DataFrame, max_urls: int = 50) -> DataFrame:
         if m == n:
             break
         known, n = grown, m
-    from pyspark.sql import Window as W
-
-    first = known.orderBy("depth", "url").limit(max_urls)
-    return first.select("url", "depth", F.row_number().over(W.orderBy("depth", "url")).cast("long").alias("id"))
+    return ranked(known, "id", F.asc("depth"), F.asc("url")).where(F.col("id") <= max_urls).select("url", "depth", "id")
 
 
 def page_rank(edges: DataFrame, teleport: float = 0.15, epsilon: float | None = 1e-5, iterations: int = 1000, every: int = 8) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tesela.config import AnalyzerConfig
 from tesela.functions.stem_es import stem_es
 from tesela.functions.text import analyse, keep_length
+from tesela.operators.shared import cut
 
 
 def analysed(corpus: DataFrame, config: AnalyzerConfig = AnalyzerConfig()) -> DataFrame:
@@ -66,10 +67,12 @@ def vocabulary(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, name: str, *order: Column, start: int = 1) -> DataFrame:
-    """Numbers rows in a global order without one task for all: ranges are sorted apart and shifted by the sizes before them."""
+    """Numbers rows in a global order without one task for all: ranges are sorted apart and shifted by the sizes before them.
+
+    The ranges with their numbers are cut in the shared folder, so that sizes and rows come from one and the same exchange."""
     from pyspark.sql import types as T
 
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    parts = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
     offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
@@ -98,6 +101,37 @@ def doc_norms(weights: DataFrame, corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id").join(norms, "doc_id", "left").select("doc_id", F.coalesce("norm", F.lit(0.0)).alias("norm"))
 
 
+def postings(occ: DataFrame) -> DataFrame:
+    """term, doc_id, tf, positions (rising). Ranges of (term, document), so that a frequent term's list is cut over tasks."""
+    ranges = occ.repartitionByRange("term", "doc_id").groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    return ranges.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions").sortWithinPartitions("term", "doc_id")
+
+
+def build(corpus: DataFrame, path: str, config: AnalyzerConfig = AnalyzerConfig()) -> None:
+    """Writes an index: postings; vocabulary (term, term_id, cf, df, idf, pointer); documents (doc_id, n_tokens, top, norm); and
+    the analyzer's settings. The corpus is read once; each table is read back before the next one is made of it."""
+    from tesela.sources import sinks
+
+    spark = corpus.sparkSession
+    sinks.store_table(postings(occurrences(corpus, config)), f"{path}/postings")
+    tf = spark.read.parquet(f"{path}/postings").select("term", "doc_id", "tf")
+    vocab = ranked(vocabulary(tf, n_documents(corpus)), "term_id", F.asc("term"))
+    vocab = running(vocab, "term_id", F.col("df") * 8, "pointer", exclusive=True)
+    sinks.store_table(vocab.select("term", "term_id", "cf", "df", "idf", "pointer").repartitionByRange("term").sortWithinPartitions("term"), f"{path}/vocabulary")
+    vocab = spark.read.parquet(f"{path}/vocabulary")
+    sizes = tf.groupBy("doc_id").agg(F.sum("tf").alias("n_tokens"), F.max("tf").alias("top"))
+    norms = doc_norms(tf_idf(tf, vocab), corpus)
+    documents = norms.join(sizes, "doc_id", "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("top", F.lit(0)).alias("top"), "norm")
+    sinks.store_table(documents, f"{path}/documents")
+    sinks.store_settings(spark, config, path, ["postings", "vocabulary", "documents"])
+
+
+def lookup(vocab: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, cf, df, idf of the asked terms; 0 for those that the vocabulary lacks."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return terms.select("term").distinct().join(vocab, "term", "left").select("term", zero("cf"), zero("df"), F.coalesce("idf", F.lit(0.0)).alias("idf"))
+
+
 def corpus_stats(corpus: DataFrame, config: AnalyzerConfig = AnalyzerConfig()) -> DataFrame:
     """One row: documents, tokens, terms of the vocabulary, their ratios, mean length of a term, terms that occur once."""
     a = analysed(corpus, config)
@@ -135,8 +169,9 @@ def postings_pointers(tf: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def running(df: DataFrame, order: str, add: Column, name: str, exclusive: bool = False) -> DataFrame:
-    """A running sum in a global order: ranges are summed apart and shifted by the sums before them."""
-    parts = df.withColumn("__add", add).repartitionByRange(order).withColumn("__part", F.spark_partition_id())
+    """A running sum in a global order: ranges are summed apart and shifted by the sums before them. The ranges are cut in the
+    shared folder as in ranked."""
+    parts = cut(df.withColumn("__add", add).repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
     totals = parts.groupBy("__part").agg(F.sum("__add").alias("__total"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
     offsets = totals.select("__part", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset"))

@@ -105,6 +105,25 @@ def top_k(scores: DataFrame, k: int, *order, start: int = 1) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).withColumn("rank", (F.col("rank") + (start - 1)).cast("long")).select("query_id", "doc_id", "rank", "score")
 
 
+def narrow(table: DataFrame, queries: DataFrame) -> DataFrame:
+    """The rows of a table by term that the queries ask for. It stands before every other join and aggregate, so what is
+    shuffled afterwards are the queries' postings alone; where queries are many, the size-checked join isn't a broadcast."""
+    return table.join(queries.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
+
+
+def same_results(left: DataFrame, right: DataFrame) -> DataFrame:
+    """query_id, same: whether two rankings (query_id, doc_id, score) of each query hold the same documents with the same scores."""
+    key = ["query_id", "doc_id", F.round("score", 6).alias("score")]
+    both = left.select(*key, F.lit(1).alias("side")).unionByName(right.select(*key, F.lit(-1).alias("side")))
+    rows = both.groupBy("query_id", "doc_id", "score").agg(F.sum("side").alias("rest"))
+    return rows.groupBy("query_id").agg(F.bool_and(F.col("rest") == 0).alias("same"))
+
+
+def idvector_union(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, vec_id: the vectors of term ids that share an id with the query's."""
+    return vectors.select("vec_id", "term_id").join(queries.select("query_id", "term_id").distinct(), "term_id").select("query_id", "vec_id").distinct()
+
+
 def summed_weights(queries: DataFrame, weights: DataFrame) -> DataFrame:
     """Sum of the documents' weights over the query's different terms; the query's own weights don't count."""
     q = set_of_words(queries).select("query_id", F.explode("terms").alias("term"))

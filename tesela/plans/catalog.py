@@ -12,8 +12,9 @@ from tesela.config import AnalyzerConfig, Similarity
 from tesela.functions import codes, text
 from tesela.functions.stem_es import stem_es
 from tesela.operators import evaluation, graph, index, laws, postings, retrieval
-from tesela.plans.sql import STOP, TOPICS, tokens, with_parts
-from tesela.sources import sinks
+from tesela.plans.sql import LANGUAGES, STOP, TITLES, TOPICS, tokens, with_parts
+from tesela.plans.store import index_tables
+from tesela.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,29 +33,49 @@ class Tables:
     def corpus(self) -> DataFrame:
         return self.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
+    @property
+    def index(self) -> dict[str, DataFrame]:
+        return index_tables(self.spark, self.dir, self.corpus)
+
     @property
     def occ(self) -> DataFrame:
-        return index.occurrences(self.corpus)
+        return self.index["postings"].select("term", "doc_id", F.explode("positions").alias("pos"))
 
     @property
     def tf(self) -> DataFrame:
-        return index.term_frequency(self.occ)
+        return self.index["postings"].select("term", "doc_id", "tf")
 
     @property
     def vocab(self) -> DataFrame:
-        return index.vocabulary(self.tf, index.n_documents(self.corpus))
+        return self.index["vocabulary"].select("term", "cf", "df", "idf")
 
     @property
     def ids(self) -> DataFrame:
-        return index.term_ids(self.occ)
+        return self.index["vocabulary"].select("term", "term_id")
+
+    def weighted(self, tf: DataFrame) -> DataFrame:
+        """term, doc_id, tf, weight of some postings, by the stored largest frequencies and idf."""
+        top = self.index["documents"].select("doc_id", "top")
+        return tf.join(self.vocab.select("term", "idf"), "term").join(top, "doc_id").select("term", "doc_id", "tf", (F.col("tf") / F.col("top") * F.col("idf")).alias("weight"))
 
     @property
     def weights(self) -> DataFrame:
-        return index.tf_idf(self.tf, self.vocab)
+        return self.weighted(self.tf)
+
+    @property
+    def asked(self) -> DataFrame:
+        """Postings of the topics' terms alone."""
+        return retrieval.narrow(self.tf, self.topics)
+
+    @property
+    def asked_places(self) -> DataFrame:
+        """term, doc_id, pos of the topics' terms alone."""
+        rows = retrieval.narrow(self.index["postings"].select("term", "doc_id", "positions"), self.topics)
+        return rows.select("term", "doc_id", F.explode("positions").alias("pos"))
 
     @property
     def norms(self) -> DataFrame:
-        return index.doc_norms(self.weights, self.corpus)
+        return self.index["documents"].select("doc_id", "norm")
 
     @property
     def topics(self) -> DataFrame:
@@ -62,10 +83,10 @@ class Tables:
 
     @property
     def counts(self) -> DataFrame:
-        return self.occ.groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
+        return self.index["vocabulary"].select("term", F.col("cf").alias("freq"))
 
     def ranking(self, similarity: Similarity) -> DataFrame:
-        return retrieval.rank(self.topics, self.weights, self.vocab, self.norms, similarity)
+        return retrieval.rank(self.topics, self.weighted(self.asked), self.vocab, self.norms, similarity)
 
     def run(self, similarity: Similarity = Similarity.COSINE) -> DataFrame:
         place = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id"))
@@ -73,13 +94,19 @@ class Tables:
 
     @property
     def qrels(self) -> DataFrame:
+        """Of each topic's language, the documents that are labelled good."""
         good = self.labels.where("quality = 1").select("doc_id").distinct()
-        return good.join(F.broadcast(self.topics.select("query_id"))).where(F.col("doc_id") % 6 != F.col("query_id") - 1).select("query_id", "doc_id")
+        languages = self.spark.createDataFrame(list(LANGUAGES.items()), "query_id int, lang string")
+        return self.documents.select("doc_id", "lang").join(good, "doc_id").join(languages, "lang").select("query_id", "doc_id").distinct()
 
     @property
     def rp(self) -> DataFrame:
         return evaluation.precision_recall(self.run(), self.qrels)
 
+    @property
+    def page_edges(self) -> DataFrame:
+        return graph.page_links(self.pages).select(F.col("url").alias("src"), F.col("link").alias("dst"))
+
     @property
     def trade(self) -> DataFrame:
         li = self.lineitem.select("l_orderkey", "l_suppkey").join(self.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -170,7 +197,9 @@ query("collection_frequency", "SELECT term, cf FROM voc")(lambda t: index.collec
 query("document_frequency", "SELECT term, df FROM voc")(lambda t: index.document_frequency(t.tf))
 query("positional_index", "SELECT term, doc_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM occ GROUP BY term, doc_id")(lambda t: index.positional_index(t.occ).select("term", "doc_id", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions")))
 query("term_ids", "SELECT term, term_id FROM ids")(lambda t: t.ids)
-query("index_build")(lambda t: t.weights.join(t.ids, "term").select("term_id", "term", "doc_id", "tf", "weight"))
+query("index_build", "SELECT term_id, term, doc_id, tf, round(weight, 6) AS weight FROM w JOIN ids USING (term)")(lambda t: t.weights.join(t.ids, "term").select("term_id", "term", "doc_id", "tf", r6("weight")))
+query("vocabulary_lookup", "SELECT a.term, coalesce(cf, 0) AS cf, coalesce(df, 0) AS df, round(coalesce(idf, 0), 6) AS idf FROM (VALUES ('the'), ('de'), ('nosuchterm')) a(term) LEFT JOIN voc USING (term)")(lambda t: index.lookup(t.vocab, t.spark.createDataFrame([("the",), ("de",), ("nosuchterm",)], "term string")).withColumn("idf", F.round("idf", 6)))
+query("pointer_lookup", "WITH p AS (SELECT term, CAST(coalesce(sum(8 * df) OVER (ORDER BY term_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pointer FROM voc JOIN ids USING (term)) SELECT pointer, term, doc_id, tf FROM p JOIN tf USING (term) WHERE term IN ('the', 'der')")(lambda t: readers.postings_at(t.index, [r.pointer for r in t.index["vocabulary"].where("term in ('the', 'der')").select("pointer").collect()]))
 query("corpus_stats", "SELECT n_docs, n_tokens, n_terms, round(n_tokens * 1.0e0 / n_docs, 6) AS tokens_per_doc, round(n_terms * 1.0e0 / n_docs, 6) AS terms_per_doc, round(a, 6) AS avg_term_length, n_hapax FROM (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_tokens FROM tok), (SELECT count(*) AS n_terms, avg(length(term)) AS a, count(*) FILTER (cf = 1) AS n_hapax FROM voc)")(lambda t: index.corpus_stats(t.corpus))
 _EXT = "SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_terms FROM tok"
 query("doc_extremes", f"SELECT * FROM (SELECT 'longest' AS kind, * FROM ({_EXT}) ORDER BY n_tokens DESC, doc_id DESC LIMIT 1) UNION ALL SELECT * FROM (SELECT 'shortest' AS kind, * FROM ({_EXT}) ORDER BY n_tokens, doc_id DESC LIMIT 1)")(lambda t: index.doc_extremes(t.corpus))
@@ -192,21 +221,42 @@ query("bottom_terms", "SELECT term, cf, df FROM voc ORDER BY cf, df, term LIMIT
 
 # boolean, phrase and proximity
 
-query("bool_and", "SELECT query_id, doc_id FROM tf JOIN qt USING (term) JOIN qn USING (query_id) GROUP BY query_id, doc_id, n HAVING count(*) = n")(lambda t: retrieval.intersect(t.topics, t.tf))
-query("bool_or", "SELECT query_id, doc_id FROM hits_or")(lambda t: retrieval.union(t.topics, t.tf))
-query("bool_not", "SELECT query_id, d.doc_id FROM documents d, topics WHERE NOT EXISTS (SELECT 1 FROM hits_or h WHERE h.doc_id = d.doc_id AND h.query_id = topics.query_id)")(lambda t: retrieval.complement(t.topics, t.tf, t.corpus))
-query("phrase", "SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, doc_id, pos - k AS s FROM occ JOIN (SELECT query_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS k, len(terms) AS n FROM topics) q USING (term) GROUP BY query_id, doc_id, s, n HAVING count(*) = n)")(lambda t: retrieval.phrase(t.topics, t.occ, t.tf))
+query("bool_and", "SELECT query_id, doc_id FROM tf JOIN qt USING (term) JOIN qn USING (query_id) GROUP BY query_id, doc_id, n HAVING count(*) = n")(lambda t: retrieval.intersect(t.topics, t.asked))
+query("bool_or", "SELECT query_id, doc_id FROM hits_or")(lambda t: retrieval.union(t.topics, t.asked))
+query("bool_not", "SELECT query_id, d.doc_id FROM documents d, topics WHERE NOT EXISTS (SELECT 1 FROM hits_or h WHERE h.doc_id = d.doc_id AND h.query_id = topics.query_id)")(lambda t: retrieval.complement(t.topics, t.asked, t.corpus))
+query("phrase", "SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, doc_id, pos - k AS s FROM occ JOIN (SELECT query_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS k, len(terms) AS n FROM topics) q USING (term) GROUP BY query_id, doc_id, s, n HAVING count(*) = n)")(lambda t: retrieval.phrase(t.topics, t.asked_places, t.asked))
 
 
 def _near(name: str, distance: int) -> None:
     pairs = "SELECT query_id, list_filter(terms, lambda x, i: list_position(terms, x) = i) AS u FROM topics"
-    query(name, f"SELECT DISTINCT query_id, a.doc_id FROM ({pairs}) q JOIN occ a ON a.term = u[1] JOIN occ b ON b.term = u[2] AND b.doc_id = a.doc_id WHERE abs(a.pos - b.pos) <= {distance}")(lambda t: retrieval.near(t.topics, t.occ, distance))
+    query(name, f"SELECT DISTINCT query_id, a.doc_id FROM ({pairs}) q JOIN occ a ON a.term = u[1] JOIN occ b ON b.term = u[2] AND b.doc_id = a.doc_id WHERE abs(a.pos - b.pos) <= {distance}")(lambda t: retrieval.near(t.topics, t.asked_places, distance))
 
 
 _near("prox_adjacent", retrieval.ADJACENT)
 _near("prox_close_to", retrieval.CLOSE_TO)
 _near("prox_n_terms", 20)
 
+def _mixed_sql() -> str:
+    terms = {1: ["the", "of"], 2: ["nosuchterm", "der"], 3: ["the", "of"], 4: ["de", "la"], 5: ["the", "of"], 6: ["und", "der"], 7: ["and", "the"], 8: ["que"]}
+    have = lambda x: f"SELECT doc_id FROM tf WHERE term = '{x}'"
+    close = lambda a, b, d: f"SELECT a.doc_id FROM occ a JOIN occ b USING (doc_id) WHERE a.term = '{a}' AND b.term = '{b}' AND abs(a.pos - b.pos) <= {d}"
+    answers = {
+        1: f"{have('the')} INTERSECT {have('of')}", 2: f"{have('nosuchterm')} UNION {have('der')}", 3: f"SELECT doc_id FROM documents EXCEPT ({have('the')} UNION {have('of')})",
+        4: "SELECT a.doc_id FROM occ a JOIN occ b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 WHERE a.term = 'de' AND b.term = 'la'",
+        5: close(*terms[5], 5), 6: close(*terms[6], 20), 7: close(*terms[7], 1), 8: have("que"),
+    }
+    return " UNION ALL ".join(f"SELECT {i} AS query_id, doc_id FROM (SELECT DISTINCT doc_id FROM ({x}))" for i, x in answers.items())
+
+
+@query("retrieve_mixed", _mixed_sql())
+def _mixed(t: Tables) -> DataFrame:
+    asked = readers.parsed_queries(t.spark, TITLES).select("query_id", "op", "distance", "terms")
+    rows = retrieval.narrow(t.index["postings"].select("term", "doc_id", "tf", "positions"), asked)
+    return retrieval.retrieve(asked, rows.select("term", "doc_id", F.explode("positions").alias("pos")), rows.select("term", "doc_id", "tf"), t.corpus)
+
+
+query("idvector_or", "SELECT DISTINCT query_id, doc_id AS vec_id FROM tf JOIN qt USING (term)")(lambda t: retrieval.idvector_union(t.asked.join(t.ids, "term").select(F.col("doc_id").alias("vec_id"), "term_id"), retrieval.query_terms(t.topics).join(t.ids, "term").select("query_id", "term_id")))
+
 # ranking
 
 query("query_weights", "SELECT query_id, term, round(qweight, 6) AS qweight FROM qw")(lambda t: retrieval.query_weights(t.topics, t.vocab).select("query_id", "term", r6("qweight")))
@@ -215,10 +265,11 @@ query("rank_cosine", "SELECT query_id, doc_id, round(score, 6) AS score FROM cos
 query("rank_jaccard", "SELECT query_id, doc_id, round(sp / (norm * norm + qn * qn - sp), 6) AS score FROM scored WHERE norm * norm + qn * qn - sp <> 0")(lambda t: t.ranking(Similarity.JACCARD).select("query_id", "doc_id", r6("score")))
 query("rank_dice", "SELECT query_id, doc_id, round(score, 6) AS score FROM dice")(lambda t: t.ranking(Similarity.DICE).select("query_id", "doc_id", r6("score")))
 _TAAT = "SELECT query_id, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS rank FROM {}) WHERE rank <= 10"
-query("taat_topk", _TAAT.format("summed"))(lambda t: retrieval.term_at_a_time(t.topics, t.weights, 10).select("query_id", "doc_id", "rank", r6("score")))
+query("taat_topk", _TAAT.format("summed"))(lambda t: retrieval.term_at_a_time(t.topics, t.weighted(t.asked), 10).select("query_id", "doc_id", "rank", r6("score")))
 _DAAT = "(SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS k FROM summed WHERE score > 0) WHERE k <= 10)"
-query("daat_topk", _TAAT.format(_DAAT))(lambda t: retrieval.document_at_a_time(t.topics, t.weights, 10).select("query_id", "doc_id", "rank", r6("score")))
-query("ranking_file", "SELECT query_id, doc_id, rank, query_id || ' Q0 ' || doc_id || ' ' || rank || ' ' || printf('%.6f', s) || ' COSINE' AS line FROM (SELECT query_id, doc_id, round(score, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM cosine)")(lambda t: sinks.q0_lines(t.ranking(Similarity.COSINE).withColumn("score", F.round("score", 9)), "COSINE"))
+query("daat_topk", _TAAT.format(_DAAT))(lambda t: retrieval.document_at_a_time(t.topics, t.weighted(t.asked), 10).select("query_id", "doc_id", "rank", r6("score")))
+query("taat_equals_daat", "SELECT DISTINCT query_id, true AS same FROM summed")(lambda t: retrieval.same_results(retrieval.term_at_a_time(t.topics, t.weighted(t.asked), 1 << 30).where("score > 0"), retrieval.document_at_a_time(t.topics, t.weighted(t.asked), 1 << 30)))
+query("ranking_file", "SELECT query_id, doc_id, rank, query_id || ' Q0 ' || doc_id || ' ' || rank || ' ' || printf('%.6f', s) || ' COSINE' AS line FROM (SELECT query_id, doc_id, round(score, 6) AS s, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM cosine)")(lambda t: sinks.q0_lines(t.ranking(Similarity.COSINE), "COSINE"))
 query("idvector_cosine", "WITH v AS (SELECT DISTINCT doc_id AS vec_id, term FROM occ), d AS (SELECT query_id, vec_id, sum(idf * idf) AS dp FROM v JOIN qt USING (term) JOIN voc USING (term) GROUP BY 1, 2), vn AS (SELECT vec_id, sqrt(sum(idf * idf)) AS vn FROM v JOIN voc USING (term) GROUP BY 1), un AS (SELECT query_id, sqrt(sum(idf * idf)) AS un FROM qt JOIN voc USING (term) GROUP BY 1) SELECT query_id, vec_id, round(dp, 6) AS dp, round(dp / (vn * un), 6) AS cosine FROM d JOIN vn USING (vec_id) JOIN un USING (query_id) WHERE dp > 0")(
     lambda t: retrieval.idvector_rank(t.tf.join(t.ids, "term").select(F.col("doc_id").alias("vec_id"), "term_id"), retrieval.query_terms(t.topics).join(t.ids, "term").select("query_id", "term_id"), t.vocab.join(t.ids, "term").select("term_id", "idf")).select("query_id", "vec_id", r6("dp"), r6("cosine"))
 )
@@ -265,16 +316,22 @@ def _spearman(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("model_comparison", _LEVELS + "SELECT level, round(avg(precision), 6) AS cosine FROM ip GROUP BY level")
+_OTHER = _LEVELS.removeprefix("WITH ").replace("best", "best2").replace("lv", "lv2").replace("lp", "lp2").replace("ip ", "ip2 ").replace("pr ", "pr_dice ").replace("pr)", "pr_dice)")
+
+
+@query("model_comparison", _LEVELS.rstrip() + ", " + _OTHER + "SELECT level, a.cosine, b.dice FROM (SELECT level, round(avg(precision), 6) AS cosine FROM ip GROUP BY level) a JOIN (SELECT level, round(avg(precision), 6) AS dice FROM ip2 GROUP BY level) b USING (level)")
 def _models(t: Tables) -> DataFrame:
     out = evaluation.compare_models({"cosine": evaluation.interpolated(t.rp), "dice": evaluation.interpolated(evaluation.precision_recall(t.run(Similarity.DICE), t.qrels))})
-    return out.select(F.col("level").cast("long").alias("level"), r6("cosine"))
+    return out.select(F.col("level").cast("long").alias("level"), r6("cosine"), r6("dice"))
 
 
-@query("normalize_doc_ids", "WITH own AS (SELECT doc_id, 'd' || doc_id % 700 AS name FROM documents), ext AS (SELECT 'd' || doc_id % 650 AS name, min(doc_id) + 100000 AS new_id FROM documents GROUP BY 1 HAVING count(*) = 1) SELECT query_id, coalesce(new_id, r.doc_id) AS doc_id, rank FROM run r LEFT JOIN own o ON o.doc_id = r.doc_id LEFT JOIN ext e ON e.name = o.name")
+@query("normalize_doc_ids", "WITH own AS (SELECT doc_id, 'd' || doc_id // 2 AS name FROM documents), ext AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'd0' ELSE 'd' || doc_id END AS name, min(doc_id) + 1000000000 AS new_id FROM documents GROUP BY 1 HAVING count(*) = 1) SELECT query_id, coalesce(new_id, r.doc_id) AS doc_id, rank FROM run r LEFT JOIN own o ON o.doc_id = r.doc_id LEFT JOIN ext e ON e.name = o.name")
 def _normalised(t: Tables) -> DataFrame:
-    name = lambda m: F.concat(F.lit("d"), (F.col("doc_id") % m).cast("string")).alias("name")
-    return evaluation.normalise_doc_ids(t.run(), t.corpus.select("doc_id", name(700)), t.corpus.select((F.col("doc_id") + 100000).alias("doc_id"), name(650))).select("query_id", "doc_id", "rank")
+    """Names: documents come in twos of one name; of the other side's, two in three are unique at every size."""
+    name = lambda x: F.concat(F.lit("d"), x.cast("string"))
+    own = t.corpus.select("doc_id", name(F.floor(F.col("doc_id") / 2)).alias("name"))
+    external = t.corpus.select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.when(F.col("doc_id") % 3 == 0, "d0").otherwise(name(F.col("doc_id"))).alias("name"))
+    return evaluation.normalise_doc_ids(t.run(), own, external).select("query_id", "doc_id", "rank")
 
 
 # postings layout and codes
@@ -308,17 +365,25 @@ query("page_links", "SELECT page_id, place, link FROM full_links")(lambda t: gra
 query("outdegree", "SELECT url AS src, count(DISTINCT link) AS n_links FROM full_links GROUP BY url")(lambda t: graph.out_degree(graph.page_links(t.pages).select(F.col("url").alias("src"), F.col("link").alias("dst"))))
 
 
-@query("crawl_bfs")
+@query("crawl_bfs", "WITH RECURSIVE bfs(url, depth) AS (SELECT min(url), 0 FROM pages UNION SELECT p.dst, b.depth + 1 FROM bfs b JOIN plinks p ON p.src = b.url WHERE b.depth < 12), near AS (SELECT url, min(depth) AS depth FROM bfs GROUP BY url) SELECT url, depth, id FROM (SELECT url, depth, row_number() OVER (ORDER BY depth, url) AS id FROM near) WHERE id <= 50")
 def _crawl(t: Tables) -> DataFrame:
-    edges = graph.page_links(t.pages).select(F.col("url").alias("src"), F.col("link").alias("dst"))
-    return graph.crawl(edges, t.pages.select("url"), max_urls=4 * t.pages.count())
+    """From one page on, breadth first, until 50 addresses are known: the limit is the crawler's own."""
+    return graph.crawl(t.page_edges, t.pages.agg(F.min("url").alias("url")), max_urls=50)
+
+
+@query("graph_ids", "WITH n AS (SELECT node, row_number() OVER (ORDER BY node) AS id FROM (SELECT src AS node FROM plinks UNION SELECT dst FROM plinks)) SELECT a.id AS src, b.id AS dst, a.id || ': ' || a.node AS line FROM plinks JOIN n a ON a.node = src JOIN n b ON b.node = dst")
+def _graph_ids(t: Tables) -> DataFrame:
+    nodes, edges = graph.with_ids(t.page_edges.distinct())
+    lines = sinks.id_url_lines(nodes).select(F.split("value", ": ", 2)[0].cast("long").alias("src"), F.col("value").alias("line"))
+    return edges.join(lines, "src").select("src", "dst", "line")
 
 
-def _pagerank_sql(rounds: int, rsp: str = "0.15e0") -> str:
-    ctes = ["WITH nodes AS (SELECT src AS node FROM trade UNION SELECT dst FROM trade)", "cnt AS (SELECT count(*) AS n FROM nodes)", "p AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM trade)", "r0 AS (SELECT node, 1.0e0 / n AS r FROM nodes, cnt)"]
+def _pagerank_sql(table: str, rounds: int, rsp: str = "0.15e0") -> str:
+    ctes = [f"WITH nodes AS (SELECT src AS node FROM {table} UNION SELECT dst FROM {table})", "cnt AS (SELECT count(*) AS n FROM nodes)", f"p AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM {table})", "r0 AS (SELECT node, 1.0e0 / n AS r FROM nodes, cnt)"]
     for i in range(rounds):
         ctes.append(f"r{i + 1} AS (SELECT nodes.node, (coalesce(c, 0) + l / n) * (1 - {rsp}) + {rsp} / n AS r FROM nodes LEFT JOIN (SELECT dst AS node, sum(p * r) AS c FROM p JOIN r{i} ON r{i}.node = p.src GROUP BY dst) USING (node), cnt, (SELECT coalesce(sum(r), 0) AS l FROM r{i} WHERE node NOT IN (SELECT src FROM p)))")
-    return ", ".join(ctes) + f" SELECT node, round(r, 6) AS rank FROM r{rounds}"
+    return ", ".join(ctes) + f" SELECT node, round(r, 9) AS rank FROM r{rounds}"
 
 
-query("pagerank", _pagerank_sql(5))(lambda t: graph.page_rank(t.trade, epsilon=None, iterations=5).select("node", r6("rank")))
+query("pagerank", _pagerank_sql("plinks", 5))(lambda t: graph.page_rank(t.page_edges.distinct().withColumn("weight", F.lit(1.0)), epsilon=None, iterations=5).select("node", F.round("rank", 9).alias("rank")))
+query("pagerank_weighted", _pagerank_sql("trade", 5))(lambda t: graph.page_rank(t.trade, epsilon=None, iterations=5).select("node", F.round("rank", 9).alias("rank")))

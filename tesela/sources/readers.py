@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesela.config import AnalyzerConfig
+
 
 def corpus_from_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].alias("doc_id"), F.coalesce(df[text_col], F.lit("")).alias("text"))
@@ -139,6 +142,23 @@ def stored_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
+def stored_settings(spark: SparkSession, path: str) -> AnalyzerConfig:
+    """The analyzer settings that an index was built with."""
+    found = json.loads(spark.read.text(f"{path}/settings").first()[0])
+    return AnalyzerConfig(**found | {"stopwords": tuple(found["stopwords"])})
+
+
+def postings_at(index: dict[str, DataFrame], pointers: list[int]) -> DataFrame:
+    """pointer, term, doc_id, tf of the lists that begin at the given bytes; files and row groups of other terms are skipped."""
+    asked = index["vocabulary"].where(F.col("pointer").isin(pointers)).select("pointer", "term")
+    return index["postings"].select("term", "doc_id", "tf").join(asked, "term").select("pointer", "term", "doc_id", "tf")
+
+
+def vocabulary_words(spark: SparkSession, path: str) -> DataFrame:
+    """word: the words of a plain word list, one to a line, once each."""
+    return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
+
+
 #: Operators as whole words by default; as substrings in the way of old query files.
 BOOLEAN = ("AND", "OR", "NOT")
 

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from dataclasses import asdict
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesela.config import AnalyzerConfig
+
+
+def store_table(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
+
+
+def store_settings(spark: SparkSession, config: AnalyzerConfig, path: str, tables: list[str]) -> None:
+    """The names of an index's tables, and the analyzer's settings beside them, so that queries are normalised as texts were."""
+    spark.createDataFrame([(n,) for n in tables], "name string").coalesce(1).write.mode("overwrite").json(f"{path}/tables")
+    spark.createDataFrame([(json.dumps(asdict(config)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+
 
 def store_index(tables: dict[str, DataFrame], path: str) -> None:
     """Parquet for each table, those with a term_id sorted by it so that look-ups skip row groups, and the list of names."""
@@ -17,8 +32,8 @@ def store_index(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def q0_lines(run: DataFrame, model: str) -> DataFrame:
-    """query_id, doc_id, rank (from 0, by falling score), line."""
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))) - 1
+    """query_id, doc_id, rank (from 0, by falling score; scores that differ behind nine places tie), line."""
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.asc("doc_id"))) - 1
     ranked = run.select("query_id", "doc_id", place.cast("long").alias("rank"), F.round("score", 6).alias("score"))
     line = F.format_string("%d Q0 %d %d %.6f %s", "query_id", "doc_id", "rank", "score", F.lit(model))
     return ranked.select("query_id", "doc_id", "rank", line.alias("line"))
@@ -69,6 +84,11 @@ def evaluation_lines(macro_stats: DataFrame, levels: DataFrame) -> DataFrame:
     return report_lines(macro_stats).unionByName(at)
 
 
+def id_url_lines(nodes: DataFrame) -> DataFrame:
+    """value: `id: url` of a graph's nodes (id, node)."""
+    return nodes.select(F.concat_ws(": ", F.col("id").cast("string"), "node").alias("value"))
+
+
 def dot_lines(edges: DataFrame) -> DataFrame:
     return edges.select(F.format_string("%d -> %d", "src", "dst").alias("value"))
 
