@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,29 +14,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from tesela.llm.common import table
-from tesela.llm.word_bpe import Merges
+from tesela.llm.common import U64, hash_words, table, utf8, word_edges
+from tesela.llm.word_bpe import Merges, Slots
 
 WINDOW = 4096
 #: Costs, in padded tokens, of a window that ends at a sentence's end and of one that ends anywhere else in a document.
 SENTENCE_COST, ANYWHERE_COST = 4, 512
 #: Tokens that are planned at once; a stream is planned in such stretches, each of which ends with a document.
 STRETCH = 1 << 19
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 300_000
-#: Control characters that Arrow counts as white space and the tokenizer doesn't.
-ODD = "[\x1c-\x1f]"
+#: Different pieces of words whose ids a worker remembers; about 60 bytes each.
+REMEMBERED = 1 << 20
+#: Bytes of a piece up to which its letters are merged many at once.
+SHORT = 32
 
-
-#: Words whose parts the tokenizer takes as they are: Latin-1 letters, which no normal form changes and which have lower case
-#: one by one, and marks of which none begins a contraction or a special token.
-SIMPLE = re.compile("([a-zß-öø-ÿ]+)([.,!?;:%&#$*|]*)")
+#: White space that parts words; the tokenizer drops it and never joins across it.
+_GAP = np.zeros(256, bool)
+_GAP[[*range(9, 14), 32]] = True
+#: What a byte is in a simple word: 1 a letter a-z, 2 a mark that begins no contraction or special token, 0 anything else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[*b".,!?;:%&#$*|"]] = 2
 
 
 class WordTokens:
-    """Ids of whole texts by way of their words: the tokenizer drops white space and never joins across it, so a text's ids
-    are those of its white-space separated words, each of which is tokenised once for as long as it is remembered. The letters
-    of simple words are merged many at once, in lower case and without their marks; other words go through the library."""
+    """Ids of whole texts by way of the pieces of their words, each of which is tokenised once for as long as it is remembered.
+
+    A simple word is letters that no normal form changes and that have lower case one by one (a to z and Latin-1), with marks
+    behind them: the tokenizer parts the two. The letters of many simple words are merged at once, in lower case; marks and other
+    words go through the library, a word at a time. Pieces are known by 64-bit hashes, sizes and first eight bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,63 +50,98 @@ class WordTokens:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}  # words: places in pairs
-        self.pairs = np.zeros((1 << 16, 2), np.int64)  # their letters and marks: places in ends; 0 is nothing
-        self.parts: dict[str, int] = {"": 0}
-        self.ids = np.zeros(1 << 20, np.int32)
-        self.ends = np.zeros(1 << 16, np.int64)
-
-    def add(self, words: list[str], ids: list) -> None:
-        """Parts with their ids."""
-        n = len(self.parts)
-        if n + len(words) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), len(words)), np.int64)])
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        at, total = int(self.ends[n - 1]), int(size.sum())
-        if at + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), total), np.int32)])
-        self.ids[at : at + total] = np.concatenate([np.zeros(0, np.int32), *ids])
-        self.ends[n : n + len(words)] = at + np.cumsum(size)
-        self.parts.update(zip(words, range(n, n + len(words)), strict=True))
-
-    def learn(self, new: list[str]) -> None:
-        simple = SIMPLE.fullmatch
-        split = [m.groups() if (m := simple(x.lower())) else (x, "") for x in new]
-        parts = self.parts
-        fresh = {a for pair in split for a in pair if a not in parts}
-        letters = [x for x in fresh if x.isalpha() and simple(x)]
-        other = list(fresh.difference(letters))
-        for a in range(0, len(other), 20_000):
-            some = other[a : a + 20_000]
-            self.add(some, [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
-        self.add(letters, self.merges.encode([x.encode() for x in letters]))
-        n = len(self.known)
-        if n + len(new) > len(self.pairs):
-            self.pairs = np.concatenate([self.pairs, np.zeros((max(len(self.pairs), len(new)), 2), np.int64)])
-        self.pairs[n : n + len(new)] = np.fromiter((parts[x] for pair in split for x in pair), np.int64, 2 * len(new)).reshape(-1, 2)
-        self.known.update(zip(new, range(n, n + len(new)), strict=True))
+        self.known = Slots()
+        self.looks = np.zeros((0, 2), U64)  # first bytes and sizes of the pieces
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The data in lower case, and first byte, end byte and kind of each piece: 1 letters, 2 marks, 0 a whole other word."""
+        at, to = word_edges(data, offsets, _GAP)
+        kind = _KIND[data]
+        low = data.copy()
+        big = (data >= 65) & (data <= 90)
+        low[big] += 32
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = 1
+        big = lead[data[lead + 1] < 0x9F] + 1
+        low[big] += 32
+        seen = np.zeros((3, len(data) + 1), np.int32)
+        np.cumsum(kind == 0, out=seen[0, 1:])
+        np.cumsum(kind == 2, out=seen[1, 1:])
+        back = np.zeros(len(data), bool)
+        back[1:] = (kind[1:] == 1) & (kind[:-1] == 2)
+        np.cumsum(back, out=seen[2, 1:])
+        simple = (seen[0, to] == seen[0, at]) & (kind[at] == 1) & (seen[2, to] == seen[2, at])
+        marks = np.where(simple, seen[1, to] - seen[1, at], 0)
+        some = np.flatnonzero(marks)
+        place = np.concatenate([np.arange(len(at)), some + 0.5])
+        order = np.argsort(place, kind="stable")
+        begin = np.concatenate([at, to[some] - marks[some]])[order]
+        end = np.concatenate([to - marks, to[some]])[order]
+        return low, begin, end, np.concatenate([simple.astype(np.int8), np.full(len(some), 2, np.int8)])[order]
+
+    def learn(self, raw: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray, kind: np.ndarray, keys: np.ndarray, looks: np.ndarray) -> None:
+        size = end - begin
+        counts = np.zeros(len(begin), np.int64)
+        plain = (kind == 1) & (size <= SHORT)
+        found: list = [None] * len(begin)
+        rest = np.flatnonzero(~plain)
+        text = [(low if kind[i] == 1 else raw)[begin[i] : end[i]].tobytes().decode() for i in rest.tolist()]
+        for a in range(0, len(text), 20_000):
+            for i, x in zip(rest[a : a + 20_000].tolist(), self.tokenizer.encode_batch_fast(text[a : a + 20_000], add_special_tokens=False), strict=True):
+                found[i] = np.array(x.ids, np.int32)
+                counts[i] = len(found[i])
+        order = np.flatnonzero(plain)
+        order = order[np.argsort(size[order], kind="stable")]
+        parts = []
+        padded = np.concatenate([low, np.zeros(SHORT, np.uint8)])
+        for a in range(0, len(order), 8192):
+            own = order[a : a + 8192]
+            width = max(2, int(size[own[-1]]))
+            ids, counts[own] = self.merges.encode(padded[begin[own][:, None] + np.arange(width)], size[own])
+            parts.append(ids)
+        # merged pieces first, in the order of their sizes, then the others; the table has them as they come
+        sequence = np.concatenate([order, rest])
+        self.ids = np.concatenate([self.ids, *parts, *(found[i] for i in rest.tolist())])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts[sequence])])
+        self.looks = np.concatenate([self.looks, looks[sequence]])
+        self.known.add(keys[sequence])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the offsets of the texts in them."""
-        texts = texts.cast(pa.large_string()).fill_null("")
-        if pc.any(pc.match_substring_regex(texts, ODD)).as_py():
-            found = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.int32) for x in texts.to_pylist()]
-            return np.concatenate([np.zeros(0, np.int32), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
-        split = pc.utf8_split_whitespace(texts)
-        at = split.offsets.to_numpy().astype(np.int64)
-        coded = split.flatten().dictionary_encode()
-        kinds = coded.dictionary.to_pylist()
-        if len(self.known) + len(kinds) > REMEMBERED:
-            self.forget()
-        if new := [x for x in kinds if x not in self.known]:
-            self.learn(new)
-        places = np.fromiter(map(self.known.__getitem__, kinds), np.int64, len(kinds))
-        which = self.pairs[places][coded.indices.to_numpy()].ravel() if kinds else np.zeros(0, np.int64)
-        begin = np.where(which > 0, self.ends[which - 1], 0)
-        size = np.where(which > 0, self.ends[which] - begin, 0)
+        data, offsets = utf8(texts)
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        low, begin, end, kind = self.pieces(data, offsets)
+        mixed = np.where(np.repeat(kind, end - begin) > 0, low[_places(begin, end)], data[_places(begin, end)])
+        own = np.concatenate([[0], np.cumsum(end - begin)])
+        keys = hash_words(mixed, own[:-1], own[1:]) ^ (kind == 1).astype(U64)
+        lanes = np.ndarray((len(mixed) + 1,), "<u8", np.concatenate([mixed, np.zeros(8, np.uint8)]), strides=(1,))
+        looks = np.stack([lanes[own[:-1]], (end - begin).astype(U64)], axis=1)
+        short = end - begin < 8
+        looks[short, 0] &= (U64(1) << (U64(8) * looks[short, 1])) - U64(1)
+        place = self.known.find(keys)
+        if (missing := np.flatnonzero(place < 0)).size:
+            if self.known.n + len(missing) > REMEMBERED:
+                self.forget()
+                missing = np.arange(len(keys))
+            first = missing[np.unique(keys[missing], return_index=True)[1]]
+            self.learn(data, low, begin[first], end[first], kind[first], keys[first], looks[first])
+            place = self.known.find(keys)
+        if not (self.looks[place] == looks).all():
+            raise ValueError("two pieces of words share a 64-bit hash")
+        start = self.ends[place]
+        size = self.ends[place + 1] - start
         to = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.arange(to[-1]) + np.repeat(begin - to[:-1], size)]
-        return ids, to[2 * (at - at[0])]
+        ids = self.ids[np.arange(to[-1]) + np.repeat(start - to[:-1], size)]
+        return ids, to[np.searchsorted(begin, offsets)]
+
+
+def _places(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """begin[0], ..., end[0] - 1, begin[1], ..."""
+    size = end - begin
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
 
 
 @lru_cache(maxsize=2)

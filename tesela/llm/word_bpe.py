@@ -1,4 +1,4 @@
-"""Merges of a word-level BPE for many words at once, in numpy: the ids that the tokenizer's own file defines."""
+"""A word-level BPE for many words at once, in numpy: the ids that the tokenizer's own file defines."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import json
 
 import numpy as np
 
+from tesela.llm.common import ODD, U64
+
 NONE = np.int32(1 << 30)
 
 
@@ -16,6 +18,49 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(more)) for b in range(256)]
 
 
+class Slots:
+    """A hash table from 64-bit keys to places 0, 1, 2 ..., in open addressing, read and written for many keys at once."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.n = bits, 0
+        self.keys, self.places = np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where there is none."""
+        shift = U64(64 - self.bits)
+        slot = (keys * ODD >> shift).astype(np.int64)
+        out = self.places[slot]
+        open_ = np.flatnonzero((out >= 0) & (self.keys[slot] != keys))
+        while len(open_):
+            slot[open_] = slot[open_] + 1 & (1 << self.bits) - 1
+            at = slot[open_]
+            out[open_] = self.places[at]
+            open_ = open_[(out[open_] >= 0) & (self.keys[at] != keys[open_])]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """New, different keys; they get the next places."""
+        while 3 * (self.n + len(keys)) > 1 << self.bits:
+            used = np.flatnonzero(self.places >= 0)
+            old = np.empty(self.n, U64)
+            old[self.places[used]] = self.keys[used]
+            self.__init__(self.bits + 1)
+            self.add(old)
+        places = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        self.n += len(keys)
+        slot = (keys * ODD >> U64(64 - self.bits)).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.places[slot[left]] < 0]
+            self.places[slot[free]] = places[free]  # of several at one slot the last one stays
+            won = free[self.places[slot[free]] == places[free]]
+            self.keys[slot[won]] = keys[won]
+            done = np.zeros(len(keys), bool)
+            done[won] = True
+            left = left[~done[left]]
+            slot[left] = slot[left] + 1 & (1 << self.bits) - 1
+
+
 class Merges:
     """Applies the merges of a vocabulary with an end-of-word mark to whole words (UTF-8, already normalised)."""
 
@@ -27,69 +72,51 @@ class Merges:
         self.inner = np.array([vocabulary[c] for c in letters], np.int32)
         self.last = np.array([vocabulary[c + mark] for c in letters], np.int32)
         pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
-        key = np.array([vocabulary[a] << 20 | vocabulary[b] for a, b in pairs], np.int64)
-        self.made = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
-        # open addressing: slots of keys and ranks
-        self.bits = 19
-        self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32)
-        for rank, (k, slot) in enumerate(zip(key.tolist(), self.slots(key).tolist(), strict=True)):
-            while self.keys[slot] not in (-1, k):
-                slot = slot + 1 & (1 << self.bits) - 1
-            if self.keys[slot] == -1:
-                self.keys[slot], self.ranks[slot] = k, rank
-
-    def slots(self, key: np.ndarray) -> np.ndarray:
-        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        key = np.array([(vocabulary[a] + 1) << 20 | (vocabulary[b] + 1) for a, b in pairs], U64)
+        made = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
+        first = np.sort(np.unique(key, return_index=True)[1])  # a pair that comes twice has its first rank
+        self.slots = Slots(18)
+        self.slots.add(key[first])
+        self.ranks, self.made = first.astype(np.int32), made
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, NONE for pairs that don't merge or are past a word's end (-1)."""
-        key = a.astype(np.int64) << 20 | b.astype(np.int64)
-        key[(a < 0) | (b < 0)] = -2
-        slot = self.slots(key)
-        out = np.full(key.shape, NONE, np.int32)
-        left = np.arange(key.size)
-        flat, slot, result = key.ravel(), slot.ravel(), out.ravel()
-        while len(left):
-            held = self.keys[slot[left]]
-            hit = held == flat[left]
-            result[left[hit]] = self.ranks[slot[left[hit]]]
-            left = left[~hit & (held != -1)]
-            slot[left] = slot[left] + 1 & (1 << self.bits) - 1
-        return result.reshape(key.shape)
-
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word. In every round each word merges its pair of least rank, the leftmost of equals."""
-        out: list = [None] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for a in range(0, len(order), 8192):
-            rows = np.array(order[a : a + 8192])
-            size = np.array([len(words[i]) for i in rows])
-            width = int(size[-1])
-            raw = np.frombuffer(b"".join(words[i].ljust(width, b"\0") for i in rows), np.uint8).reshape(len(rows), width)
-            sym = self.inner[raw]
-            sym[np.arange(len(rows)), size - 1] = self.last[raw[np.arange(len(rows)), size - 1]]
-            place = np.arange(width)
-            sym[place[None, :] >= size[:, None]] = -1
-            pairs = self.rank(sym[:, :-1], sym[:, 1:]) if width > 1 else np.full((len(rows), 1), NONE, np.int32)
-            while True:
-                at = pairs.argmin(axis=1)
-                least = pairs[np.arange(len(rows)), at]
-                for i in np.flatnonzero(least == NONE):
-                    out[rows[i]] = sym[i][sym[i] >= 0]
-                go = least != NONE
-                if not go.any():
+        place = self.slots.find((a.astype(np.int64) + 1).astype(U64) << U64(20) | (b.astype(np.int64) + 1).astype(U64))
+        return np.where(place >= 0, self.ranks[place], NONE)
+
+    def encode(self, raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has. raw: a row of bytes for each word; size: how many of them count, one at least.
+
+        In every round each word merges its pair of least rank, the leftmost of equals. Words lie in columns."""
+        n, width = raw.shape
+        which, sym = np.arange(n), self.inner[raw.T]
+        sym[size - 1, which] = self.last[raw[which, size - 1]]
+        sym[np.arange(width)[:, None] >= size] = -1
+        out, count = np.full((n, width), -1, np.int32), np.zeros(n, np.int64)
+        pairs = np.full((width, n), NONE, np.int32)
+        for j in range(width - 1):
+            pairs[j] = self.rank(sym[j], sym[j + 1])
+        while len(which):
+            least, at = pairs[0].copy(), np.zeros(len(which), np.int64)
+            for j in range(1, width - 1):
+                less = pairs[j] < least
+                least[less], at[less] = pairs[j][less], j
+            done = least == NONE
+            if done.any():
+                out[which[done]] = sym[:, done].T
+                count[which[done]] = (sym[:, done] >= 0).sum(axis=0)
+                go = ~done
+                which, sym, pairs, at, least = which[go], sym[:, go], pairs[:, go], at[go], least[go]
+                if not len(which):
                     break
-                rows, sym, pairs, at, least = rows[go], sym[go], pairs[go], at[go], least[go]
-                k = np.arange(len(rows))
-                sym[k, at] = self.made[least]
-                cols = np.arange(sym.shape[1])
-                sym = np.take_along_axis(sym, np.minimum(cols + (cols > at[:, None]), len(cols) - 1), 1)
-                sym[:, -1] = -1
-                cols = np.arange(pairs.shape[1])
-                pairs = np.take_along_axis(pairs, np.minimum(cols + (cols > at[:, None]), len(cols) - 1), 1)
-                pairs[:, -1] = NONE
-                inside = at < sym.shape[1] - 1
-                pairs[k[inside], at[inside]] = self.rank(sym[k[inside], at[inside]], sym[k[inside], at[inside] + 1])
-                left = at > 0
-                pairs[k[left], at[left] - 1] = self.rank(sym[k[left], at[left] - 1], sym[k[left], at[left]])
-        return out
+            k = np.arange(len(which))
+            for j in range(1, width - 1):
+                behind = at < j
+                sym[j] = np.where(behind, sym[j + 1], sym[j])
+                pairs[j] = np.where(behind, pairs[j + 1], pairs[j])
+            sym[width - 1] = -1
+            sym[at, k] = self.made[least]
+            pairs[at, k] = self.rank(sym[at, k], sym[at + 1, k])
+            left = np.flatnonzero(at > 0)
+            pairs[at[left] - 1, left] = self.rank(sym[at[left] - 1, left], sym[at[left], left])
+        return out[out >= 0], count
