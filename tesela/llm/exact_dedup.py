@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm.common import table
+from tesela.llm.common import checkpoint, table
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -14,7 +14,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts group by md5 and, inside a group, by their bytes, so that a collision of the hash never merges two texts:
     each text is one class. Both keys are pre-aggregated on the map side, so that a group of copies with a third of
     all rows reaches the shuffle as one row for each task. The classes go back to the rows by 384 bits of digests,
-    without the texts; two different texts behind one such key end the query with an error.
+    without the texts; two different texts behind one such key end the query with an error. Classes are cut in the shared
+    folder before that, so that behind the last shuffle stands the join alone, and Spark's adaptive execution can split the
+    rows of a hot class over tasks.
 
     Null text is empty text. Of repeated ids in one class all rows are the same document and share `kept`. A null id
     never stays unless all ids of the class are null, whose keep_id is null and kept false. Other columns are not
@@ -30,7 +32,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = by_bytes.select("h", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
     sure = F.when(F.col("n") == 1, F.col("g")).otherwise(F.raise_error(F.lit("two texts share md5 and sha256")))
     one = classes.groupBy("h", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("g"))
-    one = one.select("h", "text_sha256", "keep_id", sure.alias("group_size"))
+    one = checkpoint(one.select("h", "text_sha256", "keep_id", sure.alias("group_size")))
     return (
         rows.select("doc_id", *digests)
         .join(one, ["h", "text_sha256"])
