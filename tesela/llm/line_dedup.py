@@ -13,29 +13,29 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm.common import table
+from tesela.llm.common import checkpoint, table
 
 
 @dataclass(frozen=True)
 class LineConfig:
-    """min_chars: a single line of fewer characters is no evidence by itself, only together with its neighbour.
-    min_block: lines that an aligned block needs to be deleted."""
+    """min_chars: a single line of fewer characters is no evidence by itself, only together with its neighbour, and an aligned
+    block with fewer stays. min_block: lines that an aligned block needs to be deleted. small: cells of the table by which lines
+    without an anchor are aligned; larger stretches are aligned greedily."""
 
     min_chars: int = 20
     min_block: int = 1
+    small: int = 1 << 16
 
 
-def line_units(text: str, min_chars: int) -> list[tuple[bytes, int, int]]:
-    """Digest, first line and number of lines of each unit that occurs once in the text, patience diff's notion of rare.
-
-    Units are lines and pairs of neighbouring lines: a pair lets a line that recurs or is short take part in a block
-    next to a line that doesn't. Blank lines are no units of their own."""
+def line_units(text: str, min_chars: int) -> set[bytes]:
+    """Digests of the units by which documents with common lines are found: lines, and pairs of neighbouring lines of which one
+    is too short to be a unit itself. Blank lines are no units of their own."""
     lines = [x.strip() for x in text.split("\n")]
     digests = [xxhash.xxh3_128_digest(x) for x in lines]
-    found = [(d, i, 1) for i, (d, x) in enumerate(zip(digests, lines, strict=True)) if len(x) >= min_chars]
-    found += [(xxhash.xxh3_128_digest(digests[i] + digests[i + 1]), i, 2) for i in range(len(lines) - 1) if len(lines[i]) + len(lines[i + 1]) >= min_chars]
-    counts = Counter(d for d, _, _ in found)
-    return [x for x in found if counts[x[0]] == 1]
+    size = [len(x) for x in lines]
+    found = {d for d, n in zip(digests, size, strict=True) if n >= min_chars}
+    found.update(xxhash.xxh3_128_digest(digests[i] + digests[i + 1]) for i in range(len(lines) - 1) if min(size[i], size[i + 1]) < min_chars <= size[i] + size[i + 1])
+    return found
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -55,43 +55,106 @@ def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def aligned(matches: list[tuple[int, int, int]], min_block: int) -> set[int]:
-    """Lines of the later document in aligned blocks. matches: line here, line there, number of lines, for one pair."""
-    lines: dict[int, int] = {}
-    for here, there, n in patience_units(matches):
-        for k in range(n):
-            lines.setdefault(here + k, there + k)
-    out: set[int] = set()
+def common_lines(a: list[int], b: list[int], small: int) -> list[tuple[int, int]]:
+    """Pairs of places of a common subsequence without anchors: the longest one, or in large stretches a greedy one, which takes
+    the next equal line from here on."""
+    if len(a) * len(b) <= small:
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        out, i, j = [], 0, 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                out.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    out, j = [], 0
+    for i, x in enumerate(a):
+        own = places.get(x, ())
+        k = bisect_left(own, j)
+        if k < len(own):
+            out.append((i, own[k]))
+            j = own[k] + 1
+    return out
+
+
+def patience_diff(a: list[int], b: list[int], small: int = 1 << 16) -> list[tuple[int, int]]:
+    """Pairs of places of aligned equal lines, rising on both sides. Equal ends of a stretch are aligned first; then lines that
+    occur once on each side are anchors as far as they rise on both, and the stretches between them are aligned alike."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        lo, hi, low, high = todo.pop()
+        while lo < hi and low < high and a[lo] == b[low]:
+            out.append((lo, low))
+            lo, low = lo + 1, low + 1
+        while lo < hi and low < high and a[hi - 1] == b[high - 1]:
+            hi, high = hi - 1, high - 1
+            out.append((hi, high))
+        if lo == hi or low == high:
+            continue
+        here, there = Counter(a[lo:hi]), Counter(b[low:high])
+        at = {x: j for j, x in enumerate(b[low:high], low) if there[x] == 1}
+        anchors = patience([(i, at[x]) for i, x in enumerate(a[lo:hi], lo) if here[x] == 1 and x in at])
+        if not anchors:
+            out += [(lo + i, low + j) for i, j in common_lines(a[lo:hi], b[low:high], small)]
+            continue
+        out += anchors
+        edges = [(lo - 1, low - 1), *anchors, (hi, high)]
+        todo += [(i + 1, k, j + 1, n) for (i, j), (k, n) in zip(edges, edges[1:])]
+    return sorted(out)
+
+
+def aligned(a: list[int], b: list[int], chars: list[int], config: LineConfig) -> list[int]:
+    """Lines of the later document (a; chars: their characters) in blocks that are aligned with the earlier one."""
+    out: list[int] = []
     run: list[int] = []
-    for here in sorted(lines):
-        if run and (here != run[-1] + 1 or lines[here] != lines[run[-1]] + 1):
-            if len(run) >= min_block:
-                out.update(run)
+    last = None
+    for i, j in [*patience_diff(a, b, config.small), (len(a) + 1, 0)]:
+        if run and (i, j) != (last[0] + 1, last[1] + 1):
+            if len(run) >= config.min_block and sum(chars[k] for k in run) >= config.min_chars:
+                out += run
             run = []
-        run.append(here)
-    if len(run) >= min_block:
-        out.update(run)
+        run.append(i)
+        last = i, j
     return out
 
 
-def patience_units(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The chain over units: of the unit of one line and that of two at one place, both take part if they agree."""
-    first: dict[int, tuple[int, int]] = {}
-    for here, there, n in sorted(matches):
-        if here not in first:
-            first[here] = (there, n)
-        elif first[here][0] == there:
-            first[here] = (there, max(n, first[here][1]))
-    chain = patience([(h, t) for h, (t, _) in first.items()])
-    return [(h, t, first[h][1]) for h, t in chain]
+def line_sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, hashes and chars of its lines without white space around them; once for each id."""
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                lines = [[x.strip() for x in (text or "").split("\n")] for text in part.column(1).to_pylist()]
+                at = pa.array(np.cumsum([0, *map(len, lines)]), pa.int32())
+                hashes = np.array([xxhash.xxh3_64_intdigest(x) for own in lines for x in own], np.uint64).view(np.int64)
+                chars = np.array([len(x) for own in lines for x in own], np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, pa.array(hashes)), pa.ListArray.from_arrays(at, pa.array(chars))], ["doc_id", "hashes", "chars"])
+
+    rows = docs.where(docs[id_col].isNotNull()).select(id_col, text_col)
+    return rows.mapInArrow(run, f"doc_id {kind}, hashes array<long>, chars array<int>").dropDuplicates(["doc_id"])
 
 
 def removed_lines(docs: DataFrame, config: LineConfig = LineConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, partners (array of ids of the earlier documents), lines (array of int): what goes.
+    """doc_id, partners (array of ids of the earlier documents, the one with the rarest shared unit first), lines (array of int)
+    and spans of them (array of start, end): what goes.
 
     A unit that several documents share pairs each later one with the earliest holder, so pairs grow with the number of
-    lines, not with the square of a line's frequency, and no line is too frequent to count. The earliest holder is
-    pre-aggregated in every task; the join back splits hot units at run time.
+    lines, not with the square of a line's frequency, and no line is too frequent to count. Units only find the pairs: whole
+    documents are aligned, once for each pair, with their repeated and short lines. Holders and frequencies are pre-aggregated
+    in every task and cut in the shared folder, one row for each shared unit, so that Spark's adaptive execution can split hot
+    units in the join back.
     """
     kind = dict(docs.dtypes)[id_col]
 
@@ -104,41 +167,59 @@ def removed_lines(docs: DataFrame, config: LineConfig = LineConfig(), id_col: st
                     own = line_units(text or "", config.min_chars)
                     row += [i] * len(own)
                     found += own
-                d = np.frombuffer(b"".join(x[0] for x in found), ">i8").astype(np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32())], ["doc_id", "d1", "d2", "line", "n"])
+                d = np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(d[:, 0]), pa.array(d[:, 1])], ["doc_id", "d1", "d2"])
 
-    units = docs.select(id_col, text_col).mapInArrow(explode, f"doc_id {kind}, d1 long, d2 long, line int, n int").where("doc_id is not null")
-    first = units.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").drop("last")
-    pairs = units.join(first, ["d1", "d2"]).where(F.col("doc_id") > F.col("first.doc_id"))
-    matches = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct(F.col("first.doc_id").alias("partner"), "line", F.col("first.line").alias("there"), "n"))).alias("m"))
+    units = docs.select(id_col, text_col).mapInArrow(explode, f"doc_id {kind}, d1 long, d2 long").where("doc_id is not null")
+    first = units.groupBy("d1", "d2").agg(F.min("doc_id").alias("partner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("df")).where("partner < last").drop("last")
+    pairs = units.join(checkpoint(first), ["d1", "d2"]).where(F.col("doc_id") > F.col("partner")).groupBy("doc_id", "partner").agg(F.min("df").alias("df"))
+    pairs = checkpoint(pairs)
+    lines = line_sequences(docs, id_col, text_col)
+    theirs = lines.select(F.col("doc_id").alias("partner"), F.col("hashes").alias("theirs"))
+    both = pairs.join(theirs, "partner").join(lines, "doc_id").select("doc_id", "partner", "df", "hashes", "theirs", "chars")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            partners, lines = [], []
-            for own in batch.column(1).to_pylist():
-                by: dict = {}
-                for x in own:
-                    by.setdefault(x["partner"], []).append((x["line"], x["there"], x["n"]))
-                gone = {p: aligned(m, config.min_block) for p, m in by.items()}
-                partners.append([p for p in by if gone[p]])
-                lines.append(sorted(set().union(*gone.values())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(partners, pa.list_(batch.column(0).type)), pa.array(lines, pa.list_(pa.int32()))], ["doc_id", "partners", "lines"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                gone = [aligned(a, b, c, config) for a, b, c in zip(*(part.column(x).to_pylist() for x in ("hashes", "theirs", "chars")), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.select(["doc_id", "partner", "df"]).columns, pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "partner", "df", "lines"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            partners, lines, spans = [], [], []
+            for found in batch.column(1).to_pylist():
+                own = sorted(set().union(*(x["lines"] for x in found)))
+                edges = [k for k in range(len(own)) if not k or own[k] != own[k - 1] + 1]
+                partners.append([x["partner"] for x in found])
+                lines.append(own)
+                spans.append([{"start": own[a], "end": own[b - 1] + 1} for a, b in zip(edges, [*edges[1:], len(own)])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(partners, pa.list_(batch.column(0).type)), pa.array(lines, pa.list_(pa.int32())), pa.array(spans, SPANS)], ["doc_id", "partners", "lines", "spans"])
+
+    found = both.mapInArrow(align, f"doc_id {kind}, partner {kind}, df long, lines array<int>").where(F.size("lines") > 0)
+    found = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "partner", "lines"))).alias("found"))
+    return found.mapInArrow(gather, f"doc_id {kind}, partners array<{kind}>, lines array<int>, spans array<struct<start:int,end:int>>")
+
 
-    return matches.mapInArrow(align, f"doc_id {kind}, partners array<{kind}>, lines array<int>").where(F.size("lines") > 0)
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def line_dedup(docs: DataFrame, config: LineConfig = LineConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns, with text without the aligned lines, and partners and lines beside it.
 
-    A document loses the lines that align with those of earlier documents (smaller ids); the earliest holder loses
-    nothing. Null text stays null, and an emptied text is the empty string. Repeated rows of one id are the same document.
+    A document loses the blocks of lines that align, by patience diff, with those of earlier documents (smaller ids) that
+    hold one of its lines first; the earliest holder of a line keeps it. Null text stays null, and an emptied text is the empty string. Repeated rows of one id are the same document.
     Rows with a null id stay whole. Columns named like those that are added are replaced in the result. An empty table
     gives no rows.
     """
-    gone = removed_lines(docs, config, id_col, text_col).select(F.col("doc_id").alias("__line_doc"), F.col("partners").alias("__partners"), F.col("lines").alias("__lines"))
+    gone = removed_lines(docs, config, id_col, text_col).select(F.col("doc_id").alias("__line_doc"), F.col("partners").alias("__partners"), F.col("lines").alias("__lines"), F.col("spans").alias("__spans"))
     both = docs.join(gone, docs[id_col] == F.col("__line_doc"), "left")
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__lines"), i)), "\n")
-    text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(left)
+    spans = F.col("__spans")
+    begin = lambda j: F.when(j == 0, 0).otherwise(F.get(spans, j - 1)["end"])
+    end = lambda j, lines: F.when(j == F.size(spans), F.size(lines)).otherwise(F.get(spans, j)["start"])
+    between = lambda lines: F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), lambda j: F.slice(lines, begin(j) + 1, end(j, lines) - begin(j))))
+    left = F.array_join(F.get(F.transform(F.array(F.split(F.col(text_col), "\n", -1)), between), F.lit(0)), "\n")
+    text = F.when(spans.isNull(), F.col(text_col)).otherwise(left)
     own = [F.col(x) for x in docs.columns if x not in (text_col, "partners", "lines")]
     return both.select(*own, text.alias(text_col), F.col("__partners").alias("partners"), F.col("__lines").alias("lines"))
 
