@@ -26,8 +26,8 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 @dataclass(frozen=True)
 class DisclosureConfig:
     """A term t discloses an entity e of a document where PMI(t; e) >= alpha * IC(e), that is log p(e|t) - log p(e) >= -alpha
-    * log p(e), over lines as contexts. min_contexts: different lines that must show both, so that chance pairs don't
-    count. min_chars: of a term."""
+    * log p(e), over contexts: lines, or stretches of CONTEXT code points of longer lines. min_contexts: different contexts that
+    must show both, so that chance pairs don't count. min_chars: of a term."""
 
     alpha: float = 0.9
     min_contexts: int = 2
@@ -99,6 +99,18 @@ def term(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, EDGE, ""))
 
 
+#: Code points of a context at most, so that a context's entities times its terms are bounded however long a line is.
+CONTEXT = 512
+#: Stretches of a longer line. They end behind a letter before white space, where no match of a pattern goes on, or, in 512 code
+#: points without such a place, anywhere.
+STRETCH = rf".{{1,{CONTEXT}}}$|.{{1,{CONTEXT - 1}}}\p{{L}}(?=[\x09-\x0D\x20])|.{{1,{CONTEXT}}}"
+
+
+def contexts(line: Column) -> Column:
+    """The contexts of a line, as an array."""
+    return F.when(F.length(line) <= CONTEXT, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit("(?s)" + STRETCH), F.lit(0)))
+
+
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text (null as empty) and an array of valid spans for each kind."""
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
@@ -106,9 +118,9 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def disclosing_terms(docs: DataFrame, config: DisclosureConfig = DisclosureConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """entity, term, n_both, n_term, n_entity, contexts: the terms whose lines give the entity away.
+    """entity, term, n_both, n_term, n_entity, contexts: the terms whose contexts give the entity away.
 
-    Counts are over the lines of all documents. Pairs come from lines with an entity only; their terms are then counted
+    Counts are over the contexts of all documents. Pairs come from contexts with an entity only; their terms are then counted
     over the whole corpus, with a partial count in every task, so frequent terms reach the shuffle as one row a task.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
@@ -117,9 +129,9 @@ def disclosing_terms(docs: DataFrame, config: DisclosureConfig = DisclosureConfi
 
 def disclosures(rows: DataFrame, near: DataFrame, config: DisclosureConfig) -> DataFrame:
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= config.min_contexts)
-    lines = rows.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    lines = rows.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.explode(contexts(F.col("line"))).alias("line"))
     n_lines = lines.groupBy().agg(F.count(F.lit(1)).alias("n_lines"))
-    entities = near.select("entity", "doc_id", "line_no").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    entities = near.select("entity", "doc_id", "line_no", "at").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     words = lines.select(F.explode(F.array_distinct(F.split("line", GAP, -1))).alias("word"))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select(term(F.col("word")).alias("term"), "n")
     n_term = counted.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n_term"))
@@ -129,18 +141,21 @@ def disclosures(rows: DataFrame, near: DataFrame, config: DisclosureConfig) -> D
 
 
 def entity_lines(rows: DataFrame, config: DisclosureConfig) -> DataFrame:
-    """doc_id, line_no, context (hash of the line), entity, term: once for each line, entity and term outside of entities."""
+    """doc_id, line_no, at (number in the line), context (its hash), entity, term: once for each context, entity and term outside
+    of entities."""
     likely = None
     for kind in KINDS:
         hit = F.col("text").rlike(PATTERNS[kind])
         hit = hit if HINTS[kind] is None else F.contains(F.col("text"), F.lit(HINTS[kind])) & hit
         likely = hit if likely is None else likely | hit
-    lines = rows.where(likely).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = rows.where(likely).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "whole"))
+    lines = lines.select("doc_id", "line_no", F.posexplode(contexts(F.col("whole"))).alias("at", "line"))
     found = F.flatten(F.array(*(F.transform(spans(F.col("line"), k), lambda x: x["match"]) for k in KINDS)))
-    lines = lines.select("doc_id", "line_no", "line", F.array_distinct(found).alias("entities")).where(F.size("entities") > 0)
+    lines = lines.select("doc_id", "line_no", "at", "line", F.array_distinct(found).alias("entities")).where(F.size("entities") > 0)
     plain = F.aggregate("entities", F.col("line"), lambda t, e: F.replace(t, e, F.lit(" ")))
     terms = F.array_distinct(F.filter(F.transform(F.split(plain, GAP, -1), term), lambda x: F.length(x) >= config.min_chars))
-    return lines.select("doc_id", "line_no", F.xxhash64("line").alias("context"), F.explode("entities").alias("entity"), terms.alias("terms")).select("doc_id", "line_no", "context", "entity", F.explode("terms").alias("term"))
+    pairs = lines.select("doc_id", "line_no", "at", F.xxhash64("line").alias("context"), F.explode("entities").alias("entity"), terms.alias("terms"))
+    return pairs.select("doc_id", "line_no", "at", "context", "entity", F.explode("terms").alias("term"))
 
 
 def terms_by_document(rows: DataFrame, config: DisclosureConfig) -> DataFrame:
