@@ -20,6 +20,8 @@ import numpy as np
 
 RECORD = np.dtype([("pos", "<i8"), ("lcp", "<i4")])
 FAR = np.iinfo(np.int32).max
+#: Suffixes that a scan hands on at once.
+STRETCH = 1 << 16
 
 
 class Queues:
@@ -120,7 +122,12 @@ class Scan:
         self.carry = np.full(len(symbols), FAR, np.int32)  # least prefix since a queue last grew
 
     def hand(self, pos: np.ndarray, lcp: np.ndarray) -> None:
-        """pos in scan order; lcp: prefix in common with the suffix scanned just before."""
+        """pos in scan order; lcp: prefix in common with the suffix scanned just before. A stretch at a time, so that what a scan
+        holds besides the queues is bounded."""
+        for a in range(0, len(pos), STRETCH):
+            self.hand_stretch(pos[a : a + STRETCH], lcp[a : a + STRETCH])
+
+    def hand_stretch(self, pos: np.ndarray, lcp: np.ndarray) -> None:
         before = pos - 1
         at = np.flatnonzero((pos > 0) & self.wanted[before])
         least = int(lcp.min()) if len(lcp) else FAR
