@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tesela.llm import byte_bpe, exact_dedup, induced, jaccard, line_dedup, media, packing, pii, quality, substring_dedup, suffix_dedup
+from tesela.llm import byte_bpe, common, exact_dedup, induced, jaccard, line_dedup, media, packing, pii, quality, substring_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, lines string, score string, start string"
 
@@ -150,6 +150,59 @@ def test_jaccard_counts_all_links(spark, part):
     assert got == brute_links(rows)
 
 
+def test_jaccard_small_blocks(spark):
+    """Texts of one to six words in partitions of one row each, and blocks, cells and parts of the least size."""
+    rows = [(i, " ".join("ab"[(i >> k) & 1] for k in range(i % 7))) for i in range(40)] + [(50, None), (51, " ")]
+    config = jaccard.JaccardConfig(text_block=1, cell=8, part=2, star=1, block=1)
+    for parts in (1, 42):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), config).collect()}
+        assert got == brute_components(rows)
+
+
+def test_jaccard_long_lists(spark):
+    """Lists of over 64 entries whose sets have many sizes, and more different texts in a list than there are hubs."""
+    rng = random.Random(31)
+    shared = passage(rng, 60).split()
+    rows = []
+    for i in range(150):
+        own = shared[: rng.randint(8, 60)]
+        rows.append((i, " ".join([*own, *passage(rng, rng.randint(0, 6)).split()])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, rows), jaccard.JaccardConfig(block=4, star=3), with_links=False).collect()}
+    assert got == brute_components(rows)
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_of_equal_letters(spark):
+    """Words that polynomials modulo a power of two take for one another."""
+    x, y = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    rows = [(1, f"{x} c d e f g"), (2, f"{y} c d e f g"), (3, x), (4, y)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, rows)).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows).items()} and got[4] == 4
+    units = [thue_morse(1024, "a ", "b "), thue_morse(1024, "b ", "a ")]
+    kept = {r.doc_id: r.kept for r in substring_dedup.substring_dedup(frame(spark, list(enumerate(units)))).collect()}
+    assert kept == dict(enumerate(units))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab \n.é"), max_size=40), max_size=8), st.integers(1, 6))
+def test_ngrams(rows, n):
+    raw = [x.encode() for x in rows]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    found, row = common.ngrams(*common.words(data, offsets), n)
+    by: dict = {}
+    for i, x in enumerate(raw):
+        w = x.split()
+        want = [tuple(w[k : k + n]) for k in range(len(w) - n + 1)] or ([tuple(w)] if w else [])
+        own = found[row == i].tolist()
+        assert len(own) == len(want)
+        for h, g in zip(own, want):
+            assert by.setdefault(h, g) == g
+    assert len(set(by.values())) == len(by)
+
+
 def test_sketches_bound_differences():
     rng = np.random.RandomState(1)
     for _ in range(50):
@@ -194,6 +247,51 @@ def test_pii_terms_and_redaction(spark):
     assert clean[0].kept == "k"
 
 
+def brute_terms(rows, config):
+    """entity, term: by counting contexts in Python, from the definition of PMI and information content."""
+    from math import log
+
+    lines, both, term_n, entity_n, seen = 0, {}, {}, {}, {}
+    for i, x in rows:
+        for line in (x or "").split("\n"):
+            for context in ([line] if len(line) <= pii.CONTEXT else re.findall(pii.STRETCH.replace(r"\p{L}", "[a-zA-Z]"), line, re.S)):
+                lines += 1
+                entities = {context[a:b] for own in base_spans(context).values() for a, b in own}
+                plain = context
+                for e in entities:
+                    plain = plain.replace(e, " ")
+                clean = lambda w: re.sub(r"^[\W_]+|[\W_]+$", "", w).lower()
+                terms = {t for w in re.split(r"[\t-\r ]", plain) if len(t := clean(w)) >= config.min_chars}
+                for t in {clean(w) for w in re.split(r"[\t-\r ]", context)}:
+                    term_n[t] = term_n.get(t, 0) + 1
+                for e in entities:
+                    entity_n[e] = entity_n.get(e, 0) + 1
+                    for t in terms:
+                        both[e, t] = both.get((e, t), 0) + 1
+                        seen.setdefault((e, t), set()).add(context)
+    return {(e, t) for (e, t), n in both.items() if len(seen[e, t]) >= config.min_contexts and log(n / max(term_n[t], n)) >= (1 - config.alpha) * log(entity_n[e] / lines)}
+
+
+def test_pii_terms_by_brute_force(spark):
+    """People with an address each, nicknames that only stand by it, and words that stand everywhere; long lines as well."""
+    rng = random.Random(14)
+    people = [(f"user{k}@mail.example.com", f"Nick{''.join(rng.choice('abcdefgh') for _ in range(5))}") for k in range(6)]
+    rows = []
+    for i in range(120):
+        own = passage(rng, rng.randint(3, 9))
+        if i % 2:
+            mail, nick = people[i % 6]
+            own = f"{own} {nick if rng.random() < 0.9 else 'Someone'} wrote from {mail}"
+        rows.append((i, "\n".join([own, passage(rng, 4)])))
+    rows.append((500, " ".join(f"{passage(rng, 60)} {people[k % 6][1]} wrote from {people[k % 6][0]}" for k in range(12))))
+    config = pii.DisclosureConfig()
+    got = {(r.entity, r.term) for r in pii.disclosing_terms(frame(spark, rows), config).collect()}
+    assert got == brute_terms(rows, config) and len({t for _, t in got if t.startswith("nick")}) >= 3
+    clean = {r.doc_id: r.text for r in pii.redact(frame(spark, rows)).collect()}
+    told = {t for _, t in got}
+    assert all("@" not in x for x in clean.values()) and not any(w.lower() in told for i, x in clean.items() for w in x.split() if i % 2)
+
+
 def test_packing(docs, texts, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = packing.pack(docs, path, window=256, with_ids=True).collect()
@@ -246,6 +344,15 @@ def test_byte_bpe_cuts(text):
     assert ids == enc.encode_ordinary(text) and byte_bpe.decode(ids, enc) == text.encode()
 
 
+def test_byte_bpe_where_unicode_tables_differ():
+    """A letter that one engine knows and the other doesn't, at the real size of chunks, and runs without a place to cut."""
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    enc = byte_bpe.encoding(path, pattern)
+    for text in ("\U00016ea8's" * 20_000, "a" * 100_000, "word and  then\n some\t" * 5000, "中" * 40_000 + " x" * 40_000):
+        assert byte_bpe.encode(text, enc, pattern) == enc.encode_ordinary(text)
+    assert len(byte_bpe.cuts("word and then some " * 20_000, pattern)) > 8
+
+
 def test_byte_bpe(docs, texts, none):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     enc = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=byte_bpe.encoding(path, pattern)._mergeable_ranks, special_tokens={})
@@ -299,6 +406,40 @@ def test_substring_dedup(docs, texts, none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_substring_units_in_long_sentences(spark):
+    """A passage without full stops that is pasted into different sentences goes, but for its ends."""
+    rng = random.Random(41)
+    pasted = passage(rng, 90)
+    rows = [(i, f"{passage(rng, rng.randint(3, 20))} {pasted} {passage(rng, rng.randint(3, 20))}") for i in range(8)]
+    for r in substring_dedup.substring_dedup(frame(spark, rows)).collect():
+        left = sum(w in r.kept.split() for w in pasted.split())
+        assert r.kept == rows[r.doc_id][1] if r.doc_id == 0 else left < 50
+
+
+def brute_units(rows, config):
+    """Spans by counting the units of Python strings: the first (doc_id, offset) of equal units stays."""
+    found, seen = {}, set()
+    for i, x in sorted((i, x or "") for i, x in rows):
+        raw = x.encode()
+        _, begin, end, n, digest = substring_dedup.units(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), config)
+        own = []
+        for a, b, w, d in zip(begin, end, n, digest):
+            plain = tuple(re.sub(r"[^\x80-\U0010ffffa-z0-9]+", " ", raw[a:b].decode().lower() if raw[a:b].isascii() else raw[a:b].decode()).split())
+            if plain in seen:
+                own.append({"at": len(raw[:a].decode()), "size": len(raw[a:b].decode()), "n_words": int(w)})
+            seen.add(plain)
+        found[i] = [(s["start"], s["end"]) for s in substring_dedup.merged(own, config.min_words)]
+    return found
+
+
+def test_substring_dedup_by_brute_force(spark):
+    rng = random.Random(6)
+    pool = [f"{passage(rng, rng.randint(1, 14))}{rng.choice('.!?')}" for _ in range(30)] + [passage(rng, 60) for _ in range(3)]
+    rows = [(i, rng.choice([" ", "\n", "  "]).join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for i in range(80)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
+    assert got == brute_units(rows, substring_dedup.UnitConfig()) and sum(map(bool, got.values())) > 20
+
+
 def test_line_dedup(docs, texts, none):
     rows = [r for r in line_dedup.line_dedup(docs).collect()]
     got = {r.doc_id: r for r in rows if r.doc_id is not None}
@@ -313,6 +454,47 @@ def test_patience_keeps_order():
     assert line_dedup.patience([]) == []
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=14), st.lists(st.integers(0, 6), max_size=14), st.sampled_from([0, 1 << 16]))
+def test_patience_diff(a, b, small):
+    """A common subsequence; all of both where they are equal, and the longest one where there is no anchor and no equal end."""
+    pairs = line_dedup.patience_diff(a, b, small)
+    assert all(a[i] == b[j] for i, j in pairs) and all(x < u and y < v for (x, y), (u, v) in zip(pairs, pairs[1:]))
+    assert len(line_dedup.patience_diff(a, a, small)) == len(a)
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    assert len(pairs) <= best[0][0] and len(line_dedup.common_lines(a, b, 1 << 16)) == best[0][0]
+
+
+def brute_lines(rows, config):
+    """Partners are the first holders of a document's units; every pair is aligned, and what aligns goes."""
+    texts = {i: x or "" for i, x in rows if i is not None}
+    units = {i: line_dedup.line_units(x, config.min_chars) for i, x in texts.items()}
+    out = {}
+    for i, x in texts.items():
+        lines = [y.strip() for y in x.split("\n")]
+        partners = {min(j for j in units if u in units[j]) for u in units[i]} - {i}
+        gone = set()
+        for j in partners:
+            gone |= set(line_dedup.aligned(*([hash(y) for y in z] for z in (lines, [y.strip() for y in texts[j].split("\n")])), [len(y) for y in lines], config))
+        out[i] = "\n".join(y for k, y in enumerate(x.split("\n")) if k not in gone)
+    return out
+
+
+def test_line_dedup_is_whole(spark):
+    """Repeated long lines, short lines, crossing blocks, exact copies and lines that many documents share, against brute force."""
+    rng = random.Random(21)
+    pool = [passage(rng, rng.randint(1, 12)) for _ in range(40)] + ["", "  ", "ok", "yes"]
+    rows = [(i, "\n".join(rng.choice(pool[:k]) for _ in range(rng.randint(0, 12)))) for k in (6, 20, 44) for i in range(k * 100, k * 100 + 40)]
+    rows += [(9000 + i, x) for i, (_, x) in enumerate(rows[::7])] + [(9500, "\n".join([passage(rng, 9)] * 6))]
+    rows += [(9501, rows[-1][1]), (9502, None), (9503, "")]
+    got = {r.doc_id: r.text or "" for r in line_dedup.line_dedup(frame(spark, [*rows, rows[3]])).collect()}
+    assert got == brute_lines(rows, line_dedup.LineConfig())
+    assert got[9501] == "" and got[9500] == rows[-4][1]
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(3)
     known = passage(rng, 150).split()
