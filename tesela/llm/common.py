@@ -114,19 +114,19 @@ def word_places(data: np.ndarray, offsets: np.ndarray, lower: bool = True, break
     return hash_words(data, at, to), at
 
 
-def hash_words(data: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+def hash_words(data: np.ndarray, at: np.ndarray, to: np.ndarray, long: int = LONG_WORD) -> np.ndarray:
     """64-bit hashes of data[at:to] for each pair. Lanes of eight bytes are mixed, each into what the lanes before it gave, so
-    that no arrangement of equal letters cancels out; words of over LONG_WORD bytes get XXH3."""
+    that no arrangement of equal letters cancels out; words of over `long` bytes get XXH3."""
     size = to - at
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     out = mix(size.astype(U64) * ODD ^ (lanes[at] & _FIRST[np.minimum(size, 8)]))
-    left, k = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    left, k = np.flatnonzero((size > 8) & (size <= long)), 8
     while len(left):
         out[left] = mix((out[left] + ODD) ^ (lanes[at[left] + k] & _FIRST[np.minimum(size[left] - k, 8)]))
         k += 8
         left = left[size[left] > k]
-    for i in np.flatnonzero(size > LONG_WORD).tolist():
+    for i in np.flatnonzero(size > long).tolist():
         out[i] = xxhash.xxh3_64_intdigest(data[at[i] : to[i]])
     return out
 
