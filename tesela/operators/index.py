@@ -155,11 +155,24 @@ def postings_stats(tf: DataFrame) -> DataFrame:
     return df.agg(F.min("df").alias("min_df"), F.max("df").alias("max_df"), F.round(F.avg("df"), 6).alias("avg_df"))
 
 
+#: Documents of a stretch of a list that one task writes.
+RANGE = 1 << 12
+
+
+def joined_lists(rows: DataFrame, key: str, *entries: str) -> DataFrame:
+    """key and, for each column of strings, its values in the order of doc_id as one string. A list is written in stretches of
+    documents first, so no task sorts or holds the entries of a frequent term; only the stretches' strings meet."""
+    struct = lambda by: F.array_sort(F.collect_list(F.struct(by, *entries))).alias("l")
+    text = [F.array_join(F.col(f"l.{e}"), "").alias(e) for e in entries]
+    parts = rows.withColumn("__range", F.floor(F.col("doc_id") / RANGE)).groupBy(key, "__range").agg(struct("doc_id")).select(key, "__range", *text)
+    return parts.groupBy(key).agg(struct("__range")).select(key, *text)
+
+
 def postings_text(tf: DataFrame, ids: DataFrame) -> DataFrame:
     """term_id, line: `id:doc,value;doc,value;` with six decimals."""
     entry = F.format_string("%d,%.6f;", F.col("doc_id"), F.col("tf").cast("double"))
-    lists = tf.join(ids, "term").groupBy("term_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e")))).alias("l"))
-    return lists.select("term_id", F.concat(F.col("term_id").cast("string"), F.lit(":"), F.array_join(F.transform("l", lambda x: x["e"]), "")).alias("line"))
+    lists = joined_lists(tf.join(ids, "term").select("term_id", "doc_id", entry.alias("e")), "term_id", "e")
+    return lists.select("term_id", F.concat(F.col("term_id").cast("string"), F.lit(":"), "e").alias("line"))
 
 
 def postings_pointers(tf: DataFrame, ids: DataFrame) -> DataFrame:
