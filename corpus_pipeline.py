@@ -16,12 +16,18 @@ from tesela.llm.quality import keep_quality
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the resampling rejects go; the models are fitted on the documents that come in."""
+    """Documents that the resampling rejects go; the models are fitted on the documents that come in.
+
+    Null and empty texts score 0, the score of a text that the models tell nothing about. Repeated rows have equal fates. Null ids
+    have no label. Without labels of both kinds all rows stay. An empty table gives no rows."""
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that align with an earlier document go, and documents that had text and have none left; n_chars follows the text."""
+    """Lines that align with an earlier document go, and documents that had text and have none left; n_chars follows the text.
+
+    Null and empty texts and rows with a null id stay as they are. Repeated rows of one id lose nothing by each other. An empty
+    table gives no rows. Columns of the input keep their names, whatever they are."""
     out = line_dedup(docs)
     gone = F.col("lines").isNotNull() & (F.trim(F.col("text")) == "")
     text = {"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}
@@ -29,20 +35,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id stays; rows with a null id all stay."""
+    """Of each component of near duplicates the document with the smallest id stays; rows with a null id all stay.
+
+    Null and empty texts are no one's duplicates and stay. Repeated rows of an id share its fate. An empty table gives no rows."""
     found = jaccard_components(docs, with_links=False)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is generalised in the text; every document stays. n_chars follows the text."""
+    """Personal data is generalised in the text; every document stays. n_chars follows the text. Null texts stay null, repeated rows
+    and rows with a null id are treated like others. An empty table gives no rows."""
     out = redact(docs)
     return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences, with their token ids."""
+    """Pieces of the documents in sequences, with their token ids.
+
+    Null and empty texts are the end id alone; repeated rows and null ids are packed like others. Only doc_id and text are read. An
+    empty table gives no rows."""
     import public_tokenizers
 
     path = os.environ.get("TESELA_WORD_TOKENIZER") or public_tokenizers.path("word_bpe_49k.json")
