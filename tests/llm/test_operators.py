@@ -549,3 +549,21 @@ def test_pipeline(spark):
         assert 0.4 * docs.count() < out.count() <= docs.count(), name
         docs = out
     assert corpus_pipeline.run(spark, sf).agg({"length": "sum"}).first()[0] > 0
+
+
+def test_pipeline_edges(spark, docs, texts, none):
+    """Nulls in every column, repeated rows, null ids and clashing names go through every stage; so does an empty table."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    rows, empty = docs.unionByName(docs.limit(4)), none
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows, empty = common.checkpoint(stage(spark, rows, sf)), stage(spark, empty, sf)
+        assert rows.columns == empty.columns == docs.columns, name
+        assert empty.count() == 0, name
+        assert rows.where("doc_id is null").count() and rows.where("doc_id = 3 and text is null").count(), name
+    kept = [r.doc_id for r in rows.select("doc_id").collect()]
+    assert 0 in kept and 2 not in kept and 8 not in kept
+    packed = corpus_pipeline.STAGES[-1][1](spark, rows, sf)
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == set(kept)
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, sf).count() == 0
