@@ -153,8 +153,8 @@ def removed_lines(docs: DataFrame, config: LineConfig = LineConfig(), id_col: st
     A unit that several documents share pairs each later one with the earliest holder, so pairs grow with the number of
     lines, not with the square of a line's frequency, and no line is too frequent to count. Units only find the pairs: whole
     documents are aligned, once for each pair, with their repeated and short lines. Holders and frequencies are pre-aggregated
-    in every task and cut in the shared folder, one row for each shared unit, so that Spark's adaptive execution can split hot
-    units in the join back.
+    in every task and cut in the shared folder, one row for each shared unit, and so are pairs and lines, so that Spark's
+    adaptive execution can split hot units and hot partners in the joins.
     """
     kind = dict(docs.dtypes)[id_col]
 
@@ -174,7 +174,7 @@ def removed_lines(docs: DataFrame, config: LineConfig = LineConfig(), id_col: st
     first = units.groupBy("d1", "d2").agg(F.min("doc_id").alias("partner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("df")).where("partner < last").drop("last")
     pairs = units.join(checkpoint(first), ["d1", "d2"]).where(F.col("doc_id") > F.col("partner")).groupBy("doc_id", "partner").agg(F.min("df").alias("df"))
     pairs = checkpoint(pairs)
-    lines = line_sequences(docs, id_col, text_col)
+    lines = checkpoint(line_sequences(docs, id_col, text_col))
     theirs = lines.select(F.col("doc_id").alias("partner"), F.col("hashes").alias("theirs"))
     both = pairs.join(theirs, "partner").join(lines, "doc_id").select("doc_id", "partner", "df", "hashes", "theirs", "chars")
 
