@@ -21,8 +21,9 @@ from tesela.llm.induced import sort_suffixes
 class SuffixConfig:
     """length: bytes of a string that counts as repeated. gram: bytes of the strings whose least hash deals a window to a shard.
     text_block: bytes of texts that are looked at together. cell: bytes of texts whose keys are counted in one group. shard: bytes
-    of texts for each shard. memory: bytes of queue records that a sort holds before they go on disk. buffer: bytes of pieces that
-    a task gathers before it packs them by shard."""
+    of texts for each shard. memory: bytes of queue records that a sort holds before they go on disk. names: symbols of a string of
+    names that a sort orders in memory; longer ones by recursion. buffer: bytes of pieces that a task gathers before it packs them
+    by shard."""
 
     length: int = 50
     gram: int = 16
@@ -30,6 +31,7 @@ class SuffixConfig:
     cell: int = 8 << 20
     shard: int = 2 << 20
     memory: int = 4 << 20
+    names: int = 1 << 24
     buffer: int = 4 << 20
 
 
@@ -219,7 +221,7 @@ def earliest(text: np.ndarray, size: np.ndarray, first: np.ndarray, config: Suff
     inside = np.ones(len(joined), bool)
     inside[end] = False
     joined[inside] = text.astype(np.int16) + 1
-    order, lcp = sort_suffixes(joined, config.length, config.memory)
+    order, lcp = sort_suffixes(joined, config.length, config.memory, config.names)
     whole = end[owner[order]] - order >= config.length
     group = np.cumsum(lcp < config.length) - 1
     least = np.full(group[-1] + 1, np.iinfo(np.int64).max)

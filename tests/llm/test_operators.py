@@ -74,6 +74,20 @@ def test_suffix_dedup(docs, texts, none):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+def test_suffix_dedup_of_small_shards(spark, texts):
+    """Blocks, cells, shards and buffers of about a text; queues that go on disk at once; names that are sorted by recursion. Texts
+    share passages at all offsets, with changes inside, periodic ones among them."""
+    rng = random.Random(17)
+    parts = [passage(rng, 30) for _ in range(6)] + ["ab" * 90, "x" * 120, passage(rng, 9) * 8]
+    rows = [(i, rng.choice(["", " ", "é"]).join(x[rng.randint(0, 40) :] if rng.random() < 0.5 else x for x in rng.choices(parts, k=rng.randint(0, 5)))) for i in range(70)]
+    rows += [(1000 + i, x) for i, x in texts] + [(2000 + i, x) for i, (_, x) in enumerate(rows[:9])]
+    config = suffix_dedup.SuffixConfig(text_block=700, cell=1 << 9, shard=1 << 9, memory=128, names=2, buffer=1 << 9)
+    want = suffix_dedup.removed_bytes([(i, (x or "").encode()) for i, x in rows], 50)
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), config).collect()}
+    for i, x in rows:
+        assert bytes(got[i].kept) == bytes(b for b, g in zip((x or "").encode(), want[i]) if not g), i
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=60), st.sampled_from([0, 200, 1 << 20]), st.sampled_from([0, 4, 1 << 20]))
 def test_induced_sorting(values, memory, base):
