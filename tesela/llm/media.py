@@ -17,6 +17,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 #: Side of the picture that the cosine transform sees and of the block of low frequencies that is kept.
 SIDE, LOW = 32, 8
+#: Rows of a picture that are worked on at once, so that a long text takes a few bytes of memory for each of its own.
+STRETCH = 1 << 14
 
 
 def chunk(kind: bytes, body: bytes) -> bytes:
@@ -26,16 +28,18 @@ def chunk(kind: bytes, body: bytes) -> bytes:
 def png_encode(samples: np.ndarray, level: int = 6) -> bytes:
     """An 8-bit grey picture (rows x columns) as PNG; each row takes the filter of none, sub and up with the least sum."""
     rows = samples.astype(np.uint8)
-    left = np.zeros_like(rows)
-    left[:, 1:] = rows[:, :-1]
-    above = np.zeros_like(rows)
-    above[1:] = rows[:-1]
-    tried = np.stack([rows, rows - left, rows - above])
-    cost = np.abs(tried.view(np.int8).astype(np.int16)).sum(axis=2, dtype=np.int64)
-    kind = cost.argmin(axis=0)
     lines = np.empty((rows.shape[0], rows.shape[1] + 1), np.uint8)
-    lines[:, 0] = kind
-    lines[:, 1:] = tried[kind, np.arange(rows.shape[0])]
+    for a in range(0, len(rows), STRETCH):
+        own = rows[a : a + STRETCH]
+        left, above = np.zeros_like(own), np.zeros_like(own)
+        left[:, 1:] = own[:, :-1]
+        above[0] = rows[a - 1] if a else 0
+        above[1:] = own[:-1]
+        tried = np.stack([own, own - left, own - above])
+        cost = np.abs(tried.view(np.int8).astype(np.int16)).sum(axis=2, dtype=np.int64)
+        kind = cost.argmin(axis=0)
+        lines[a : a + STRETCH, 0] = kind
+        lines[a : a + STRETCH, 1:] = tried[kind, np.arange(len(own))]
     head = struct.pack(">IIBBBBB", rows.shape[1], rows.shape[0], 8, 0, 0, 0, 0)
     return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + chunk(b"IEND", b"")
 
@@ -120,15 +124,20 @@ _DCT = _cosines(SIDE, LOW)
 def cosine_hash(samples: np.ndarray) -> bytes:
     """64 bits: which of the lowest 8 x 8 cosine frequencies of the picture, shrunk to 32 x 32, lie above their median."""
     rows, cols = samples.shape
-    area = np.zeros((rows + 1, cols + 1))
-    area[1:, 1:] = samples.cumsum(axis=0, dtype=np.float64).cumsum(axis=1)
-
     def edges(n: int) -> tuple[np.ndarray, np.ndarray]:
         a = np.arange(SIDE) * n // SIDE
         return a, np.maximum(a + 1, (np.arange(SIDE) + 1) * n // SIDE)
 
     (ra, rb), (ca, cb) = edges(rows), edges(cols)
-    total = area[np.ix_(rb, cb)] - area[np.ix_(ra, cb)] - area[np.ix_(rb, ca)] + area[np.ix_(ra, ca)]
+    if rows > STRETCH:  # the same whole numbers without sums at every row
+        below = np.stack([samples[a:b].sum(axis=0, dtype=np.float64) for a, b in zip(ra, rb)])
+    else:
+        area = np.zeros((rows + 1, cols))
+        area[1:] = samples.cumsum(axis=0, dtype=np.float64)
+        below = area[rb] - area[ra]
+    across = np.zeros((SIDE, cols + 1))
+    across[:, 1:] = below.cumsum(axis=1)
+    total = across[:, cb] - across[:, ca]
     small = total / np.outer(rb - ra, cb - ca)
     low = np.round(_DCT @ small @ _DCT.T, 6).ravel()
     return np.packbits(low > np.median(low[1:])).tobytes()

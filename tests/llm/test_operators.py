@@ -392,6 +392,23 @@ def test_media(docs, texts, none):
     assert media.digests(media.media_columns(none)).count() == 0
 
 
+def brute_cosine_hash(samples):
+    """The definition: mean of each cell of 32 x 32, the cosine transform by its double sum, bits above the median."""
+    rows, cols = samples.shape
+    cell = lambda n, k: (k * n // 32, max(k * n // 32 + 1, (k + 1) * n // 32))
+    small = np.array([[samples[slice(*cell(rows, i)), slice(*cell(cols, j))].mean() for j in range(32)] for i in range(32)])
+    wave = lambda u, x: np.cos(np.pi / 32 * u * (x + 0.5))
+    low = [round(sum(small[x, y] * wave(u, x) * wave(v, y) for x in range(32) for y in range(32)), 6) for u in range(8) for v in range(8)]
+    return np.packbits(np.array(low) > np.median(low[1:])).tobytes()
+
+
+@pytest.mark.parametrize("rows", [1, 2, 33, 100, media.STRETCH + 77])
+def test_cosine_hash(rows):
+    samples = np.random.RandomState(rows).randint(0, 256, (rows, 64)).astype(np.uint8)
+    assert media.cosine_hash(samples) == brute_cosine_hash(samples)
+    assert (media.png_decode(media.png_encode(samples)) == samples).all()
+
+
 @given(st.integers(0, 2**32 - 1), st.integers(1, 9))
 @settings(max_examples=20, deadline=None)
 def test_png_filters(seed, rows):
