@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesela.llm.common import ODD, U64, utf8
+from tesela.llm.common import ODD, U64, trim, utf8
 
 #: Bits of a hash by which texts with it are counted; a chance match makes a key look more frequent, no more.
 KEY_BITS = 48
@@ -169,6 +169,7 @@ def shared_keys(cells: DataFrame, bits: int) -> DataFrame:
                     out[0].append(block)
                     out[1].append(write_keys(some[at], base))
                     out[2].append(rank[at].tobytes())
+            trim()
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array([rows["cell"][0].as_py()] * len(out[0]), pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["block", "cell", "keys", "ranks"])
 
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "block long, cell long, keys binary, ranks binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Iterator
@@ -16,6 +17,14 @@ U64 = np.uint64
 BLOCK_BYTES = 2 << 20
 
 
+def trim() -> None:
+    """Freed memory goes back to the system, as several workers share an executor's; without glibc nothing happens."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

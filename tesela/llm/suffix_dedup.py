@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesela.llm.cells import KEY_BITS, cell_bits, different_texts, found_in, grouped, key_cells, read_keys, shared_keys, unpacked
-from tesela.llm.common import ODD, U64, checkpoint, hash_words, mix, table, utf8
+from tesela.llm.common import ODD, U64, checkpoint, hash_words, mix, table, trim, utf8
 from tesela.llm.induced import sort_suffixes
 
 
@@ -29,7 +29,7 @@ class SuffixConfig:
     gram: int = 16
     text_block: int = 1 << 20
     cell: int = 8 << 20
-    shard: int = 2 << 20
+    shard: int = 1 << 20
     memory: int = 4 << 20
     names: int = 1 << 24
     buffer: int = 4 << 20
@@ -157,6 +157,7 @@ def pieces(texts: DataFrame, shared: DataFrame, bits: int, shards: int, config:
                 yield packed_pieces(cell, docs, starts, sizes, np.zeros(0, np.uint8), shards, True)
                 lost.clear()
             waiting = 0
+            trim()
 
         for part in grouped(batches, "block"):
             n = int((part["kind"].to_numpy() == 0).sum())
@@ -191,7 +192,8 @@ def pieces(texts: DataFrame, shared: DataFrame, bits: int, shards: int, config:
 
 def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, ... (size[0] of them), begin[1], ..."""
-    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+    kind = np.int32 if int(begin.max(initial=0)) + int(size.sum()) < 1 << 31 else np.int64
+    return np.arange(size.sum(), dtype=kind) + np.repeat((begin - (np.cumsum(size) - size)).astype(kind), size)
 
 
 def packed_pieces(route: np.ndarray, docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, text: np.ndarray, shards: int, sure: bool) -> pa.RecordBatch:
@@ -287,6 +289,7 @@ def removals(found: DataFrame, config: SuffixConfig) -> DataFrame:
                 out.append((docs, starts, starts + sizes))
             if sure.num_rows < rows.num_rows:
                 out.append(solved(rows.filter(pc.invert(rows["sure"])), config))
+                trim()
             yield spans_by_doc(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
