@@ -132,8 +132,13 @@ def id_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, html: fetched pages; one that isn't HTML has empty text."""
-    return spark.read.parquet(path).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    """page_id, url, html: fetched pages. One without text, or whose content type (where the table has one) isn't HTML, has empty
+    text: its address stays known, and no link leaves it."""
+    rows = spark.read.parquet(path)
+    html = F.coalesce("html", F.lit(""))
+    if "content_type" in rows.columns:
+        html = F.when(F.lower("content_type").rlike(r"^\s*(text/html|application/xhtml\+xml)\b"), html).otherwise("")
+    return rows.select("page_id", "url", html.alias("html"))
 
 
 def stored_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -61,6 +61,12 @@ def test_gap_skips_and_bulk_load(spark):
     assert [(r.term, r.df, r.pointer, r.docs, r.gaps) for r in rows] == [("a", 3, 0, [1, 4, 9], [1, 3, 5]), ("b", 2, 24, [2, 5], [2, 3])]
 
 
+def test_pages_by_content_type(spark, tmp_path):
+    rows = [(1, "u", "<a>", "text/html; charset=utf-8"), (2, "v", "%PDF", "application/pdf"), (3, "w", None, "text/html"), (4, "x", "<b>", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, content_type string").write.parquet(str(tmp_path / "p"))
+    assert sorted((r.page_id, r.html) for r in readers.pages(spark, str(tmp_path / "p")).collect()) == [(1, "<a>"), (2, ""), (3, ""), (4, "")]
+
+
 def test_menu():
     assert [Similarity.from_menu(k) for k in (1, 2, 3, 4, 9)] == [Similarity.COSINE, Similarity.SCALAR, Similarity.DICE, Similarity.JACCARD, Similarity.COSINE]
 
