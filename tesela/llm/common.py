@@ -18,7 +18,8 @@ BLOCK_BYTES = 2 << 20
 
 
 def trim() -> None:
-    """Freed memory goes back to the system, as several workers share an executor's; without glibc nothing happens."""
+    """Freed memory goes back to the system, as several workers share an executor's; without glibc only Arrow's does."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesela.llm.cells import KEY_BITS, cell_bits, different_texts, found_in, grouped, key_cells, read_keys, shared_keys, unpacked
-from tesela.llm.common import ODD, U64, blocks, checkpoint, mix, ngrams, table, utf8, words
+from tesela.llm.common import ODD, U64, blocks, checkpoint, mix, ngrams, table, trim, utf8, words
 
 
 @dataclass(frozen=True)
@@ -142,6 +142,7 @@ def list_entries(texts: DataFrame, keys: DataFrame, bits: int, config: JaccardCo
             out = pa.RecordBatch.from_arrays(columns, schema=FOUND)
             for a in range(0, out.num_rows, 20_000):
                 yield out.slice(a, 20_000)
+            trim()
 
     return rows.mapInArrow(run, "token long, doc_id long, size int, pos int, sketch binary")
 
@@ -288,6 +289,7 @@ def links(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, config: JaccardC
                             first.append(a)
                             second.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
+            trim()
 
     left = sizes.select(F.col("doc_id").alias("a"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
     right = sizes.select(F.col("doc_id").alias("b"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))

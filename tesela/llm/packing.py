@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from tesela.llm.common import U64, hash_words, table, utf8, word_edges
+from tesela.llm.common import U64, hash_words, table, trim, utf8, word_edges
 from tesela.llm.word_bpe import Merges, Slots
 
 WINDOW = 4096
@@ -22,8 +22,8 @@ WINDOW = 4096
 SENTENCE_COST, ANYWHERE_COST = 4, 512
 #: Tokens that are planned at once; a stream is planned in such stretches, each of which ends with a document.
 STRETCH = 1 << 19
-#: Different pieces of words whose ids a worker remembers; about 60 bytes each.
-REMEMBERED = 1 << 20
+#: Different pieces of words whose ids a worker remembers; about 100 bytes each, in every worker for as long as it lives.
+REMEMBERED = 300_000
 #: Bytes of a piece up to which its letters are merged many at once.
 SHORT = 32
 
@@ -271,7 +271,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 if waiting >= STRETCH:
                     yield from flush()
                     waiting = 0
+                    trim()
         yield from flush()
+        trim()
 
     schema = f"doc_id {kind}, " + ", ".join(f"{x} long" for x in PIECES.names) + ", ids array<int>" * with_ids
     return docs.select(id_col, text_col).mapInArrow(run, schema)

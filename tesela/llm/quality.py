@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesela.llm.common import U64, blocks, checkpoint, mix, table, utf8, word_places, words
+from tesela.llm.common import U64, blocks, checkpoint, mix, table, trim, utf8, word_places, words
 
 #: Parts of a unit of score that scores are held in, so that sums and cuts are whole numbers.
 GRAIN = 1_000_000
@@ -187,6 +187,7 @@ def scored(docs: DataFrame, model: QualityModel, text_col: str = "text", names:
                 out[a:b] = np.bincount(row, model.ratios[found], b - a) / np.sqrt(np.bincount(row, minlength=b - a) + 1)
                 toxic[a:b] = toxicity(*part, model)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(out, 9)), pa.array(np.round(toxic, 9))], [*batch.schema.names, *names])
+            trim()
 
     return docs.mapInArrow(run, docs.select("*", *(F.lit(0.0).alias(x) for x in names)).schema)
 
